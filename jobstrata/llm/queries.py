@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pii, rules
+from . import decontam, pii, rules, tokenbin, toxicity, warc
 from .common import table
 
 
@@ -22,7 +23,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op1_pii": op1_pii, "op5_quality_rules": op5_quality_rules, "op8_decontamination": op8_decontamination}
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.digest(tokenbin.written(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.read(spark, warc.archived(table(spark, sf_dir, "pages"))))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op5_quality_rules, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -44,6 +58,11 @@ b AS (
     + CASE WHEN 2 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END AS BIGINT) AS fail_bits FROM f)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits & 15 = 0 AS kept, 'v1' AS policy FROM b
+""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
 """,
     "op8_decontamination": r"""
 WITH n AS (SELECT 0 AS side, CAST(doc_id AS VARCHAR) AS id, doc_id, text FROM documents UNION ALL SELECT 1, CAST(item_id AS VARCHAR), NULL, text FROM benchmark),
