@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pii, rules, tokenbin, toxicity, warc
+from . import decontam, pii, rules, substring, tokenbin, toxicity, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.found(table(spark, sf_dir, "documents")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(substring.removed(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.decided(rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -36,11 +40,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op5_quality_rules, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op5_quality_rules, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLES = {
+    "op2_substring_dedup": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM d, unnest(range(1, len(w) - 11)) AS u(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+c AS (SELECT DISTINCT doc_id, i + o AS p FROM r, unnest(range(0, 13)) AS u(o)),
+a AS (SELECT doc_id, w[p] AS x, p FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
+k AS (SELECT a.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY a.p) AS t FROM a ANTI JOIN c ON c.doc_id = a.doc_id AND c.p = a.p GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+""",
     "op5_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
