@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pii, rules, substring, tokenbin, toxicity, warc
+from . import decontam, jaccard, pii, rules, substring, tokenbin, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.removed(table(spark, sf_dir, "documents")))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.decided(rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -40,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op5_quality_rules, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op4_ngram_jaccard, op5_quality_rules, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -54,6 +58,16 @@ a AS (SELECT doc_id, w[p] AS x, p FROM d, unnest(range(1, len(w) + 1)) AS u(p)),
 k AS (SELECT a.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY a.p) AS t FROM a ANTI JOIN c ON c.doc_id = a.doc_id AND c.p = a.p GROUP BY a.doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+""",
+    "op4_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT r.node, e.b FROM r JOIN e ON r.root = e.a)
+SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(root) AS component_id FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """,
     "op5_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
