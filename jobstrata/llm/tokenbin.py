@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -96,29 +97,72 @@ class Block:
 class WordIds(dict):
     """Packed ids of each chunk of text between white space; the tokenizer's tokens never span any.
 
-    Only chunks not met before go through the tokenizer. Memory is bounded: the oldest are forgotten together.
+    Only chunks not met before go through the tokenizer. Those of letters and closing marks share the ids of their lower-cased
+    letters; such runs of letters go through together, and their ids are told apart by the mark that ends a word.
+    Memory is bounded: when it is full, all is forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    MARKS = ".,;:!?%*&#$|"
+
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 512):
+            some = runs[i : i + 512]
+            packed = self._encode([" ".join(some)])[0]
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(packed, "<u4")]) + 4).tolist()
+            if len(cuts) == len(some):
+                self.parts.update(zip(some, (packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                self.parts.update(zip(some, self._encode(some), strict=True))
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        new = list(set(chain.from_iterable(texts)).difference(self))
+        every = set(chain.from_iterable(texts))
+        new = [w for w in every if w not in self]
         if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(set(chain.from_iterable(texts)))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self[word] = np.array(found.ids, "<u4").tobytes()
+            self.clear(), self.parts.clear()
+            new = list(every)
+        plain, other = [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            core = text.rstrip(self.MARKS)
+            low = core.lower()
+            if low.isalpha() and len(low) == len(core) and (core.isascii() or max(core) < "\u0250" and is_normalized("NFC", core)):
+                plain.append((word, low, text[len(core) :]))
+            else:
+                other.append((word, text))
+        self._letters(list({low for _, low, _ in plain if low not in self.parts}))
+        marks = list({m for *_, m in plain if m and m not in self.parts})
+        self.parts.update(zip(marks, self._encode(marks), strict=True))
+        self.parts[""] = b""
+        for word, low, m in plain:
+            self[word] = self.parts[low] + self.parts[m]
+        self.update(zip([w for w, _ in other], self._encode([t for _, t in other]), strict=True))
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
 
 
+_KNOWN: dict[str, WordIds] = {}
+
+
+def known_ids(path: str) -> WordIds:
+    """The process's own WordIds: a Python worker keeps it from task to task."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
+
 # --- tables ---
 
 
@@ -129,7 +173,7 @@ def blocks(docs: DataFrame, tokenizer: str, end: int = END, size: int = BLOCK) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, part, seq = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        known, part, seq = known_ids(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         kept: list[np.ndarray] = []
         total = 0
