@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, pii, rules, substring, tokenbin, toxicity, warc
+from . import cotrain, decontam, jaccard, pieces, pii, rules, substring, tokenbin, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(substring.removed(table(spark, sf_dir, "documents")))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotrain.scored(docs, cotrain.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.digest(tokenbin.written(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -44,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op4_ngram_jaccard, op5_quality_rules, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_quality_classifier, op4_ngram_jaccard, op5_quality_rules, op6_sentencepiece, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
