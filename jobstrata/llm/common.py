@@ -35,6 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def where_known(df: DataFrame, condition: Column) -> DataFrame:
+    """df where the condition holds, evaluated on the columns as computed: not pushed below them, which would compute them anew."""
+    return df.withColumn("__n", F.monotonically_increasing_id()).where(condition & (F.col("__n") >= 0)).drop("__n")
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; none of a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, where_known
 
 WIDTH = 10
 #: Windows of the benchmark that may be broadcast (some 60 bytes each); more are joined by a shuffle.
@@ -86,7 +86,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, carry: boo
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
-    return judged(docs, benchmark, width, carry=True).where(~F.col("contaminated")).select("__row.*")
+    return where_known(judged(docs, benchmark, width, carry=True), ~F.col("contaminated")).select("__row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

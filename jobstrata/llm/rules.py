@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import where_known, words
 
 #: name of the rule -> its place in the bitmask. Places are never used again for another rule.
 BITS = {"few_words": 0, "repeated_words": 1, "symbols": 2, "long_words": 3, "short_words": 4, "repeated_lines": 5}
@@ -113,4 +113,4 @@ def ablation(book: DataFrame, policy: str = POLICY) -> DataFrame:
 def kept_documents(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     """The rows of docs, with all their columns, whose text passes the policy."""
     rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__body"))
-    return decided(ledger(rows, "__body", "__row"), policy).where("kept").select("__row.*")
+    return where_known(decided(ledger(rows, "__body", "__row"), policy), F.col("kept")).select("__row.*")
