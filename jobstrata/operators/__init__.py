@@ -1 +1 @@
-"""Operators of the library."""
+"""Operators of the library: DataFrames in, DataFrames out."""

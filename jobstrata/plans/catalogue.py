@@ -1,4 +1,4 @@
-"""Every query of the library by name, with its oracle."""
+"""Every query of the library by name, with its oracle. The modules imported here register theirs."""
 
 from __future__ import annotations
 
@@ -6,10 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; sql is what DuckDB says instead."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    from . import ordered, relational, texts  # noqa: F401
+
+    return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(_ORACLES)
