@@ -33,7 +33,9 @@ from .common import WordHashes, long_array, mixed, stored, text_bytes, windows
 from .components import components
 
 WIDTH, PERCENT = 5, 75
-SLACK, CROWD, SEEDS, BLOCK = 0.3, 64, 8, 40_000
+SLACK, CROWD, SEEDS, BLOCK = 0.2, 64, 8, 40_000
+#: Ids that may be broadcast to pick documents; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def shingles(words: list[bytes], known: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -54,7 +56,7 @@ def published(own: np.ndarray, fine: bool = False) -> np.ndarray:
     n, out = len(own), []
     need = n // 3 + 1
     for band in {_band(n), _band(-(-3 * n // 4))}:
-        parts = int((6 if fine else 1.7) * (4 * (2 << band) // 9)) + 4
+        parts = int((6 if fine else 1.5) * (4 * (2 << band) // 9)) + 4
         for seed in range(SEEDS + 1):
             salt = np.uint64(0x9E3779B97F4A7C15 * (64 * seed + band + 1) % (1 << 64))
             if seed == SEEDS:
@@ -111,12 +113,12 @@ def classes(docs: DataFrame) -> DataFrame:
     return own.join(first.drop("n"), "key", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("rep"))
 
 
-def sketches(docs: DataFrame, fine: bool = False) -> DataFrame:
+def sketches(docs: DataFrame) -> DataFrame:
     """sig and doc_id: the published parts of each document."""
 
     def row(doc_id, own):
         if len(own):
-            sig = published(own, fine)
+            sig = published(own)
             return sig, np.full(len(sig), doc_id, np.int64)
         return None
 
@@ -124,7 +126,7 @@ def sketches(docs: DataFrame, fine: bool = False) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """a, b and sig: pairs (a < b) of documents in a group, sig null; of groups above CROWD (smallest id, id, sig), itself included.
+    """a, b, band and sig: pairs (a < b) of documents in a group, once a group, sig null; of groups above CROWD (smallest id, id, sig), itself included.
 
     Groups are read as sorted streams: CROWD rows are held at most.
     """
@@ -154,7 +156,7 @@ def candidates(rows: DataFrame) -> DataFrame:
             if 2 <= n <= CROWD:
                 x, y = np.triu_indices(n, 1)
                 a, b = doc[(at[:, None] + x).ravel()], doc[(at[:, None] + y).ravel()]
-                out.append((a, b, np.zeros(len(a), np.int64), np.ones(len(a), bool)))
+                out.append((a, b, np.repeat(sig[at], len(x)), np.ones(len(a), bool)))
             elif n > CROWD:
                 i = (at[:, None] + np.arange(n)).ravel()
                 out.append((np.repeat(doc[at], n), doc[i], sig[i], np.zeros(len(i), bool)))
@@ -175,9 +177,9 @@ def candidates(rows: DataFrame) -> DataFrame:
             a, b, sig, cool = (np.concatenate(x) for x in zip(*out, strict=True))
             for at in range(0, len(a), 50_000):
                 end = at + 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(a[at:end]), pa.array(b[at:end]), pa.array(sig[at:end], mask=cool[at:end])], ["a", "b", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[at:end]), pa.array(b[at:end]), pa.array((sig[at:end] & 63).astype(np.int32)), pa.array(sig[at:end], mask=cool[at:end])], ["a", "b", "band", "sig"])
 
-    return rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(scan, "a long, b long, sig long")
+    return rows.repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(scan, "a long, b long, band int, sig long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -186,16 +188,15 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def hashes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id and s, the packed shingles of the documents among nodes (doc_id)."""
-    own = _emit(docs.join(nodes, "doc_id"), lambda doc_id, s: (doc_id, s.tobytes()), "doc_id long, s binary", ["doc_id", "s"])
+    """doc_id and s, the packed shingles of the documents among nodes (doc_id, stored). Few ids are broadcast, so texts stay where they are."""
+    chosen = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    own = _emit(docs.join(chosen, "doc_id"), lambda doc_id, s: (doc_id, s.tobytes()), "doc_id long, s binary", ["doc_id", "s"])
     return own.groupBy("doc_id").agg(F.max_by("s", F.struct(F.length("s"), "s")).alias("s"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) of documents whose sets' similarity is percent or more."""
-    nodes = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
-    own = stored(hashes(docs, nodes), "sets")
-    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
+def verified(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) whose sets' similarity is percent or more. sets: doc_id and s."""
+    side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,12 +206,24 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify, "a long, b long")
 
 
-def compared(rows: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
+def fine_parts(sets: DataFrame) -> DataFrame:
+    """sig and doc_id: all parts of the finer sketches of sets (doc_id, s)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, s in zip(batch["doc_id"].to_pylist(), batch["s"].to_pylist(), strict=True):
+                sig = published(np.frombuffer(s, np.uint64), fine=True)
+                yield pa.RecordBatch.from_arrays([long_array(sig), pa.array(np.full(len(sig), doc_id, np.int64))], ["sig", "doc_id"])
+
+    return sets.select("doc_id", "s").mapInArrow(emit, "sig long, doc_id long")
+
+
+def compared(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) within the groups of rows (group, doc_id, component) between documents of different components, in blocks.
 
-    own: doc_id and s. Blocks have BLOCK shingles or so; a row has the numbers of two blocks, and the sets come to it by a join.
+    sets: doc_id and s. Blocks have BLOCK shingles or so; a row has the numbers of two blocks, and the sets come to it by a join.
     """
-    known = rows.join(own, "doc_id").withColumn("n", F.length("s") / 8)
+    known = rows.join(sets, "doc_id").withColumn("n", F.length("s") / 8)
     sizes = known.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     dealt = known.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     blocks = stored(dealt.groupBy("group", "block").agg(F.collect_list(F.struct("doc_id", "component", "s")).alias("docs")), "blocks")
@@ -249,26 +262,33 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
         known = pairs.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return known.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    found = stored(candidates(sketches(docs)).distinct(), "candidates")
-    first = stored(between(found.select("a", "b").where("a <> b").distinct()), "pairs")
-    good = stored(verified(docs, first, percent), "links")
-    # 2: the partners of a document have three quarters of its shingles at least, and spare as many parts as that needs
-    band = F.col("sig").bitwiseAND(F.lit(63))
-    lost = found.where("sig IS NOT NULL").groupBy(F.col("b").alias("doc_id"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
-    spare = F.floor(F.lit(SLACK) * (F.floor(F.ceil(F.col("n_shingles") * percent / 100) / 3) + 1) - 1e-9)
-    poor = stored(lost.join(own, "doc_id").where(F.col("n") > spare).select(F.col("rep").alias("doc_id")).distinct(), "poor")
+    # 1: partners share the published parts that the smaller set has to spare and one more, in small groups or in crowds
+    found = stored(candidates(sketches(docs)).groupBy("a", "b", "band", "sig").agg(F.count(F.lit(1)).alias("n")), "candidates")
+    lost = stored(found.where("sig IS NOT NULL").groupBy(F.col("b").alias("doc_id"), "band").agg(F.count(F.lit(1)).alias("n")), "lost")
+    spare = lambda n: F.floor(F.lit(SLACK) * (F.floor(n / 3) + 1) - 1e-9)
+    met = found.where("a <> b").groupBy("a", "b", "band").agg(F.sum(F.when(F.col("sig").isNull(), F.col("n")).otherwise(0)).alias("n"))
+    crowded = lambda c: lost.select(F.col("doc_id").alias(c), "band", F.col("n").alias(f"l{c}"))
+    met = met.join(crowded("a"), ["a", "band"], "left").join(crowded("b"), ["b", "band"], "left").join(of("a"), "a").join(of("b"), "b")
+    enough = F.col("n") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) > spare(F.least("na", "nb"))
+    first = stored(between(met.where(enough).select("a", "b").distinct()), "pairs")
+    # the partners of a document have three quarters of its shingles at least
+    poor = lost.join(own, "doc_id").where(F.col("n") > spare(F.ceil(F.col("n_shingles") * percent / 100))).select(F.col("rep").alias("doc_id")).distinct()
+    poor = stored(poor, "poor")
+    nodes = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).unionByName(poor).distinct()
+    sets = stored(hashes(docs, stored(nodes, "nodes")), "sets")
+    good = stored(verified(sets, first, percent), "links")
     if poor.isEmpty():
         return own, good
-    parts = stored(sketches(docs.join(poor, "doc_id"), fine=True).distinct(), "parts")
+    # 2: the rarest parts of finer sketches
+    band = F.col("sig").bitwiseAND(F.lit(63))
+    parts = stored(fine_parts(sets.join(poor, "doc_id", "left_semi")), "parts")
     crowds = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"))
     order = Window.partitionBy("doc_id", band).orderBy("crowd", "sig")
-    kept = parts.join(crowds, "sig").where("crowd > 1").withColumn("place", F.row_number().over(order))
-    alone = parts.join(crowds, "sig").where("crowd = 1").groupBy("doc_id", band.alias("band")).agg(F.count(F.lit(1)).alias("alone"))
-    kept = kept.withColumn("band", band).join(alone, ["doc_id", "band"], "left").join(own, "doc_id")
-    kept = kept.where(F.col("place") + F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n_shingles") / 3) + 1).select("sig", "doc_id")
-    again = stored(candidates(kept).distinct(), "candidates")
+    ranked = parts.join(crowds, "sig").withColumn("place", F.row_number().over(order)).join(own, "doc_id")
+    kept = ranked.where((F.col("place") <= F.floor(F.col("n_shingles") / 3) + 1) & (F.col("crowd") > 1)).select("sig", "doc_id")
+    again = stored(candidates(kept).select("a", "b", "sig").distinct(), "candidates")
     second = stored(between(again.select("a", "b").where("a <> b").distinct()).join(first, ["a", "b"], "left_anti"), "pairs")
-    good = stored(good.unionByName(verified(docs, second, percent)), "links")
+    good = stored(good.unionByName(verified(sets, second, percent)), "links")
     # 3: crowds of more than one component
     rows = again.where("sig IS NOT NULL").select(F.col("a").alias("group"), F.col("b").alias("doc_id")).distinct()
     rows = rows.join(components(good).withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -276,7 +296,7 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     rest = stored(rows.join(several, "group"), "rest")
     if rest.isEmpty():
         return own, good
-    last = compared(rest, stored(hashes(docs, rest.select("doc_id").distinct()), "sets"), percent)
+    last = compared(rest, sets, percent)
     return own, good.unionByName(last.distinct())
 
 
