@@ -138,6 +138,6 @@ def str_feed_stream(spark, sf_dir):
     root = tempfile.mkdtemp(prefix="spark-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/feed-{spark.sparkContext.applicationId}-{id(object())}"
     e = table(spark, sf_dir, "events")
     ads = e.select((F.col("event_id") % 500).alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("removed"), F.concat("event_type", F.floor("value").cast("int").cast("string")).alias("title"))
-    ads.repartition(4).write.mode("overwrite").json(f"{root}/in")
+    ads.repartition(4).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{root}/in")
     feeds.run_feed(spark, f"{root}/in", f"{root}/log", f"{root}/offsets")
     return feeds.state_of(spark.read.parquet(f"{root}/log").drop("batch"))
