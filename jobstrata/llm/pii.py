@@ -99,8 +99,9 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         rows = rows.withColumn(f"__g_{kind}", F.when(F.size(m) > 0, F.split(t, RULES[kind][0], -1)).otherwise(none))
     rows = rows.drop("__t")
     parts = {k: _spans(k, F.col(f"__m_{k}"), F.col(f"__g_{k}")) for k in KINDS}
-    rows = rows.withColumns({f"__s_{k}": F.when(F.size(f"__m_{k}") > 0, parts[k][1]) for k in KINDS})
-    return rows.select(key, *[F.when(F.size(f"__m_{k}") > 0, parts[k][2](F.col(f"__s_{k}"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")).alias(k) for k in KINDS])
+    # __n keeps filters on the result from being pushed below, which would compute all anew
+    rows = rows.withColumns({f"__s_{k}": F.when(F.size(f"__m_{k}") > 0, parts[k][1]) for k in KINDS} | {"__n": F.monotonically_increasing_id()})
+    return rows.select(key, *[F.when((F.size(f"__m_{k}") > 0) & (F.col("__n") >= 0), parts[k][2](F.col(f"__s_{k}"))).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")).alias(k) for k in KINDS])
 
 
 def _joined(spans: Column) -> Column:

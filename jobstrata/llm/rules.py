@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import where_known, words
+from .common import words
 
 #: name of the rule -> its place in the bitmask. Places are never used again for another rule.
 BITS = {"few_words": 0, "repeated_words": 1, "symbols": 2, "long_words": 3, "short_words": 4, "repeated_lines": 5}
@@ -59,11 +59,12 @@ def measured(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.sort_array(F.transform(twice, lambda x: x["p"])).alias("__p"),
+        F.monotonically_increasing_id().alias("__n"),  # keeps filters on the result from being pushed below, which would compute all anew
     )
     p = F.col("__p")
     new = F.transform(p, lambda x, i: F.least(F.lit(3), x - F.coalesce(F.get(p, i - 1), F.lit(-3))))
     covered = F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x)
-    return spots.select(*kept, "n_lines", "n_dup_lines", covered.alias("n_repeat_words"))
+    return spots.select(*kept, "n_lines", "n_dup_lines", F.when(F.col("__n") >= 0, covered).alias("n_repeat_words"))
 
 
 def failures() -> Column:
@@ -113,4 +114,4 @@ def ablation(book: DataFrame, policy: str = POLICY) -> DataFrame:
 def kept_documents(docs: DataFrame, policy: str = POLICY) -> DataFrame:
     """The rows of docs, with all their columns, whose text passes the policy."""
     rows = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__body"))
-    return where_known(decided(ledger(rows, "__body", "__row"), policy), F.col("kept")).select("__row.*")
+    return decided(ledger(rows, "__body", "__row"), policy).where("kept").select("__row.*")
