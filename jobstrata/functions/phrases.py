@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A vocabulary is broadcast up to so many phrases.
-BROADCAST_PHRASES = 100_000
+#: A vocabulary is broadcast up to so many phrases; up to LITERAL_PHRASES it is a literal that n-grams are intersected with first.
+BROADCAST_PHRASES, LITERAL_PHRASES = 100_000, 2_000
 
 
 def vocabulary(spark: SparkSession, lists: dict[str, dict[str, list[str]]]) -> DataFrame:
@@ -30,8 +30,14 @@ def hits(texts: DataFrame, key: list[str], folded: str, terms: DataFrame) -> Dat
     size, lengths = terms.agg(F.count(F.lit(1)), F.collect_set("n")).first()
     w = F.col("__w")
     base = texts.select(*key, F.split(F.trim(folded), " ").alias("__w"))
-    grams = [F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))), _joined(w, n)) for n in sorted(lengths)]
-    each = base.select(*key, F.explode(F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")).alias("phrase"))
+    grams = [w if n == 1 else F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(0))), _joined(w, n)) for n in sorted(lengths)]
+    every = F.concat(*grams) if grams else F.array().cast("array<string>")
+    if size <= LITERAL_PHRASES:
+        known = [r["phrase"] for r in terms.select("phrase").distinct().orderBy("phrase").collect()]
+        every = F.array_intersect(every, F.array(*[F.lit(p) for p in known]).cast("array<string>"))
+    else:
+        every = F.array_distinct(every)
+    each = base.select(*key, F.explode(every).alias("phrase"))
     return each.join(F.broadcast(terms) if size <= BROADCAST_PHRASES else terms, "phrase").select(*key, "dimension", "value", "rung", "position", "phrase")
 
 

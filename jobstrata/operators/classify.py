@@ -52,8 +52,8 @@ def _among(values: list[str]):
 
 def language(rows: DataFrame, key: list[str], text: str, least: int = 4) -> DataFrame:
     """key, language and votes: the language most of whose stopwords a text has, by occurrences; `en` before others on ties, then by name."""
-    words = F.split(F.trim(fold(F.col(text))), " ")
-    votes = {lang: F.size(F.filter(words, _among(stop))) for lang, stop in STOPWORDS.items()}
+    base = rows.select(*key, F.split(F.trim(fold(F.col(text))), " ").alias("__w"))
+    votes = {lang: F.size(F.filter("__w", _among(stop))) for lang, stop in STOPWORDS.items()}
     each = F.array(*[F.struct((-n).alias("n"), F.lit(lang != "en").alias("other"), F.lit(lang).alias("lang")) for lang, n in votes.items()])
     best = F.array_min(each)
-    return rows.select(*key, best.alias("b")).select(*key, F.when(-F.col("b.n") >= least, F.col("b.lang")).otherwise("unknown").alias("language"), (-F.col("b.n")).cast("long").alias("votes"))
+    return base.select(*key, best.alias("b")).select(*key, F.when(-F.col("b.n") >= least, F.col("b.lang")).otherwise("unknown").alias("language"), (-F.col("b.n")).cast("long").alias("votes"))
