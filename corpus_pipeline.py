@@ -14,6 +14,10 @@ from jobstrata.llm import decontam, jaccard, pieces, pii, rules
 from jobstrata.llm.common import stored, table
 
 
+#: Units that a Python worker keeps: workers outlive the stage, and the others need the memory.
+UNITS = 150_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.kept_documents(docs)
 
@@ -31,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digest(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=UNITS)
 
 
 STAGES = [

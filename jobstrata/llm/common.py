@@ -40,6 +40,11 @@ def where_known(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("__n", F.monotonically_increasing_id()).where(condition & (F.col("__n") >= 0)).drop("__n")
 
 
+def lean(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of few rows from now on in this session: rows here hold whole texts or sets, and two workers share an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def words(text: Column) -> Column:
     """The words `[^\\x20\\x09-\\x0D]+` of a text; none of a null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -48,7 +53,7 @@ def words(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hash of each word's bytes, kept for the words met last (memory is bounded)."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000):
+    def __init__(self, seed: int = 0, limit: int = 200_000):
         super().__init__()
         self.seed, self.limit = seed, limit
 

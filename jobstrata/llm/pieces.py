@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 SPACE = "▁"
 #: What a character of no piece costs beyond the worst piece, as in the library's own lattice.
 PENALTY = 10.0
@@ -233,10 +235,11 @@ class Segmenter:
 _KNOWN: dict[str, Segmenter] = {}
 
 
-def segmenter(path: str) -> Segmenter:
-    """The process's own Segmenter: a Python worker keeps it from task to task."""
+def segmenter(path: str, limit: int = 800_000) -> Segmenter:
+    """The process's own Segmenter: a Python worker keeps it from task to task. limit: units and chunks that it keeps (some 300 bytes each)."""
     if path not in _KNOWN:
         _KNOWN[path] = Segmenter(path)
+    _KNOWN[path].limit = limit
     return _KNOWN[path]
 
 
@@ -279,11 +282,11 @@ def nbest(docs: DataFrame, model: str, n: int = _BEST) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, rank int, score double, ids array<int>")
 
 
-def digest(docs: DataFrame, model: str, n: int = _BEST) -> DataFrame:
+def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) -> DataFrame:
     """Of each text: n_pieces, ids_crc32 (little-endian 32-bit ids), best_score, n_best and last_score (of n at most), and round_trip."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = segmenter(model)
+        known = segmenter(model, limit)
         for batch in batches:
             out = []
             for text in batch["text"].to_pylist():
@@ -293,4 +296,5 @@ def digest(docs: DataFrame, model: str, n: int = _BEST) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip"])
 
+    lean(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best int, last_score double, round_trip boolean")
