@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, long_array, mixed, stored, text_bytes, windows
+from .common import WordHashes, lean, long_array, mixed, stored, text_bytes, windows
 from .components import components
 
 WIDTH, PERCENT = 5, 75
 SLACK, CROWD, SEEDS, BLOCK = 0.2, 64, 8, 40_000
+#: Groups from this size on are equally crowded in the order of parts; so many rows are held at most to count one.
+COUNTED = 4096
 #: Ids that may be broadcast to pick documents; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -200,22 +202,62 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array([_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                mask = pa.array([_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(some["sa"].to_pylist(), some["sb"].to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([some["a"].filter(mask), some["b"].filter(mask)], ["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(verify, "a long, b long")
 
 
 def fine_parts(sets: DataFrame) -> DataFrame:
-    """sig and doc_id: all parts of the finer sketches of sets (doc_id, s)."""
+    """sig, doc_id and total: all parts of the finer sketches of sets (doc_id, s), and how many there are in the part's band."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, s in zip(batch["doc_id"].to_pylist(), batch["s"].to_pylist(), strict=True):
                 sig = published(np.frombuffer(s, np.uint64), fine=True)
-                yield pa.RecordBatch.from_arrays([long_array(sig), pa.array(np.full(len(sig), doc_id, np.int64))], ["sig", "doc_id"])
+                band = (sig & np.uint64(63)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([long_array(sig), pa.array(np.full(len(sig), doc_id, np.int64)), pa.array(np.bincount(band)[band].astype(np.int32))], ["sig", "doc_id", "total"])
 
-    return sets.select("doc_id", "s").mapInArrow(emit, "sig long, doc_id long")
+    return sets.select("doc_id", "s").mapInArrow(emit, "sig long, doc_id long, total int")
+
+
+def shared(parts: DataFrame) -> DataFrame:
+    """The rows of parts whose sig comes in another row, with crowd, how many have it (COUNTED at most).
+
+    Rows sorted by sig are read as a stream, so one shuffle does; COUNTED rows and a batch are held at most.
+    """
+    names = ["sig", "doc_id", "total"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)], None
+
+        def ready(upto: int, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sizes = np.minimum(np.diff(np.append(starts, upto)), COUNTED)
+            crowd = np.repeat(sizes, np.diff(np.append(starts, upto)))
+            crowd[held[0][:upto] == large] = COUNTED
+            good = crowd > 1
+            if good.any():
+                yield pa.RecordBatch.from_arrays([*[pa.array(c[:upto][good]) for c in held], pa.array(crowd[good].astype(np.int32))], [*names, "crowd"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.append(h, batch[n].to_numpy()) for h, n in zip(held, names, strict=True)]
+            starts = np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1]))
+            last, upto = held[0][-1], int(starts[-1])
+            if len(held[0]) - upto >= COUNTED or last == large:
+                yield from ready(len(held[0]), starts)
+                held, large = [h[:0] for h in held], last
+            else:
+                if upto:
+                    yield from ready(upto, starts[:-1])
+                held = [h[upto:] for h in held]
+        if len(held[0]):
+            yield from ready(len(held[0]), np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1])))
+
+    return parts.select(*names).repartition("sig").sortWithinPartitions("sig", "doc_id").mapInArrow(scan, "sig long, doc_id long, total int, crowd int")
 
 
 def compared(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -253,6 +295,7 @@ def compared(rows: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
 
 def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """The classes of docs, and the links between their representatives (a < b): all but some inside a component."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull())
     own = stored(classes(docs), "classes")
     of = lambda c: own.select(F.col("doc_id").alias(c), F.col("rep").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
@@ -280,12 +323,11 @@ def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame
     if poor.isEmpty():
         return own, good
     # 2: the rarest parts of finer sketches
-    band = F.col("sig").bitwiseAND(F.lit(63))
-    parts = stored(fine_parts(sets.join(poor, "doc_id", "left_semi")), "parts")
-    crowds = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("crowd"))
-    order = Window.partitionBy("doc_id", band).orderBy("crowd", "sig")
-    ranked = parts.join(crowds, "sig").withColumn("place", F.row_number().over(order)).join(own, "doc_id")
-    kept = ranked.where((F.col("place") <= F.floor(F.col("n_shingles") / 3) + 1) & (F.col("crowd") > 1)).select("sig", "doc_id")
+    parts = shared(fine_parts(sets.join(poor, "doc_id", "left_semi"))).withColumn("band", F.col("sig").bitwiseAND(F.lit(63)))
+    own_parts = Window.partitionBy("doc_id", "band")
+    ranked = parts.withColumns({"place": F.row_number().over(own_parts.orderBy("crowd", "sig")), "others": F.count(F.lit(1)).over(own_parts)})
+    few = F.col("place") + F.col("total") - F.col("others") <= F.floor(F.col("n_shingles") / 3) + 1
+    kept = ranked.join(own, "doc_id").where(few).select("sig", "doc_id")
     again = stored(candidates(kept).select("a", "b", "sig").distinct(), "candidates")
     second = stored(between(again.select("a", "b").where("a <> b").distinct()).join(first, ["a", "b"], "left_anti"), "pairs")
     good = stored(good.unionByName(verified(sets, second, percent)), "links")
