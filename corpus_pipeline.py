@@ -22,6 +22,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.kept_documents(docs)
 
 
+def quality_rules_v2(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return rules.kept_documents(docs, "v2")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.representatives(docs)
 
@@ -46,14 +50,21 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
+#: The same under policy v2, which also rejects words with marks between them.
+STAGES_V2 = [("quality_rules", quality_rules_v2), *STAGES[1:]]
+
 #: Segmentation can't be said in SQL; tests/llm hold the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(stages):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
+        if k + 1 < len(stages):
             docs = stored(docs, name)
     return docs
+
+
+def run_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, STAGES_V2)

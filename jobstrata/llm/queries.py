@@ -31,6 +31,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.decided(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op5_quality_rules_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules under policy v2, whose symbols rule also rejects words with marks between them."""
+    return rules.decided(rules.ledger(table(spark, sf_dir, "documents")), "v2")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -53,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_quality_classifier, op4_ngram_jaccard, op5_quality_rules, op6_sentencepiece, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_quality_classifier, op4_ngram_jaccard, op5_quality_rules, op5_quality_rules_v2, op6_sentencepiece, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -114,3 +119,8 @@ SELECT s.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIG
 FROM s LEFT JOIN p ON p.doc_id = s.doc_id LEFT JOIN q ON q.doc_id = s.doc_id WHERE side = 0
 """,
 }
+ORACLES["op5_quality_rules_v2"] = (
+    ORACLES["op5_quality_rules"]
+    .replace("THEN 32 ELSE 0 END AS BIGINT)", "THEN 32 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 64 ELSE 0 END AS BIGINT)")
+    .replace("fail_bits & 15 = 0 AS kept, 'v1'", "fail_bits & 75 = 0 AS kept, 'v2'")
+)

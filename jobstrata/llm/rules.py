@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 from .common import words
 
 #: name of the rule -> its place in the bitmask. Places are never used again for another rule.
-BITS = {"few_words": 0, "repeated_words": 1, "symbols": 2, "long_words": 3, "short_words": 4, "repeated_lines": 5}
+BITS = {"few_words": 0, "repeated_words": 1, "symbols": 2, "long_words": 3, "short_words": 4, "repeated_lines": 5, "symbol_share": 6}
+#: rules whose bits every ledger has; those of later rules are added from the measurements where a policy asks for them.
+FIRST = tuple(BITS)[:6]
 
 #: version of the policy -> rules that reject under it.
 POLICIES: Mapping[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbols", "long_words"),
-    "strict": tuple(BITS),
+    "strict": FIRST,
+    "v2": ("few_words", "repeated_words", "symbol_share", "long_words"),
 }
 POLICY = "v1"
 
@@ -67,8 +70,11 @@ def measured(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return spots.select(*kept, "n_lines", "n_dup_lines", F.when(F.col("__n") >= 0, covered).alias("n_repeat_words"))
 
 
-def failures() -> Column:
-    """The bitmask of failed rules, from the measurements."""
+def failures(rules: tuple[str, ...] = FIRST) -> Column:
+    """The bitmask of those of the rules that fail, from the measurements.
+
+    `symbols` can't fail for marks that stand alone, since each is a word, too; `symbol_share` takes the usual one in ten words.
+    """
     failed = {
         "few_words": F.col("n_words") < 50,
         "repeated_words": 100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
@@ -76,8 +82,9 @@ def failures() -> Column:
         "long_words": F.col("word_chars") > 40 * F.col("n_words"),
         "short_words": F.col("word_chars") < 2 * F.col("n_words"),
         "repeated_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
+        "symbol_share": 10 * F.col("n_symbols") > F.col("n_words"),
     }
-    bits = [F.when(failed[rule], F.lit(1 << place)).otherwise(F.lit(0)) for rule, place in BITS.items()]
+    bits = [F.when(failed[rule], F.lit(1 << place)).otherwise(F.lit(0)) for rule, place in BITS.items() if rule in rules]
     total = bits[0]
     for bit in bits[1:]:
         total = total.bitwiseOR(bit)
@@ -89,8 +96,15 @@ def ledger(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
     return measured(docs, text, key).withColumn("fail_bits", failures())
 
 
+def booked(book: DataFrame, policy: str) -> DataFrame:
+    """The ledger with the bits of all rules of the policy: an older one lacks those of later rules."""
+    more = set(POLICIES[policy]) - set(FIRST)
+    return book.withColumn("fail_bits", failures((*FIRST, *more))) if more else book
+
+
 def decided(book: DataFrame, policy: str = POLICY) -> DataFrame:
     """The ledger with base_failed and kept: false where a base rule or a rule of the policy fails."""
+    book = booked(book, policy)
     hit = lambda name: F.col("fail_bits").bitwiseAND(F.lit(mask(name))) != 0
     return book.withColumns({"base_failed": hit("base"), "kept": ~(hit("base") | hit(policy)), "policy": F.lit(policy)})
 
@@ -100,6 +114,7 @@ def ablation(book: DataFrame, policy: str = POLICY) -> DataFrame:
 
     One pass over the bits: counts are summed before they are shuffled, one row a task.
     """
+    book = booked(book, policy)
     own = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)))
     counts = book.agg(
         F.count(F.lit(1)).alias("n_docs"),
