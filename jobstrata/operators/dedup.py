@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .identity import components
+from .identity import components, scratch
 
 
 def collapsed(cards: DataFrame, fingerprint: str, order: list[Column]) -> DataFrame:
@@ -55,3 +55,37 @@ def near(cards: DataFrame, block: list[str], text: str, least: float = 0.93) ->
     pairs = blocked_pairs(cards, block, length_bound(F.col(f"l.{text}"), F.col(f"r.{text}"), least))
     given = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col(f"l.{text}").alias("ta"), F.col(f"r.{text}").alias("tb"))
     return given.mapInPandas(lambda it: _ratios(it, least), "a long, b long, ratio double").where(F.col("ratio") >= least)
+
+
+def _matches(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Pairs whose ratio is `least` or more in an order in which two of their cards stand: the ratio isn't symmetric."""
+
+    def close(x: str, y: str) -> bool:
+        m = SequenceMatcher(None, x, y, autojunk=False)
+        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+
+    for batch in batches:
+        rows = zip(batch["b"], batch["last"], batch["ta"], batch["tb"], strict=True)
+        yield batch.loc[[close(x, y) or (b < last and close(y, x)) for b, last, x, y in rows], ["a", "b"]]
+
+
+def near_classes(cards: DataFrame, block: list[str], text: str, least: float = 0.93, shortest: int = 400) -> DataFrame:
+    """id, component (smallest id of its class), members and kept (whether it is that id) of every card.
+
+    Classes are transitive: cards of a block whose texts have `shortest` characters at least and match as in near. Equal texts of a
+    block are one text before pairs are made, so pairs are quadratic in the different texts of a block only. Shorter cards and
+    those without a text are classes of their own; a null in the block equals a null.
+    """
+    key = F.sha2(F.to_json(F.struct(*block)), 256)
+    same = Window.partitionBy("key", "digest")
+    keyed = cards.where(F.length(text) >= shortest).select("id", key.alias("key"), F.sha2(text, 256).alias("digest"))
+    own = scratch(keyed.select("id", "key", F.min("id").over(same).alias("first"), F.max("id").over(same).alias("last")), "keyed")
+    firsts = own.where("id = first").distinct()
+    several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    read = scratch(cards.select("id", F.col(text).alias("t")).join(firsts.join(several, "key", "left_semi"), "id").select("id", "key", "last", "t"), "texts")
+    pairs = blocked_pairs(read, ["key"], length_bound(F.col("l.t"), F.col("r.t"), least))
+    given = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.last").alias("last"), F.col("l.t").alias("ta"), F.col("r.t").alias("tb"))
+    whole = components(given.mapInPandas(lambda it: _matches(it, least), "a long, b long")).withColumnRenamed("node", "first")
+    known = own.select("id", "first").distinct().join(whole, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    found = cards.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return found.select("id", "component", F.count(F.lit(1)).over(Window.partitionBy("component")).alias("members"), (F.col("id") == F.col("component")).alias("kept"))

@@ -225,7 +225,6 @@ def dup_cross(spark, sf_dir):
 
 @query()
 def dup_near(spark, sf_dir):
-    """DUP-03, SIM-01: near copies among long documents of one source, language and beginning."""
-    head = F.substring("text", 1, 150)
-    cards = table(spark, sf_dir, "documents").where("length(text) BETWEEN 400 AND 6000").select(F.col("doc_id").alias("id"), "source", "lang", head.alias("title"), "text")
-    return dedup.near(cards, ["source", "lang", "title"], "text")
+    """DUP-03, ENT-04, SIM-01: each document with its class of near copies among long documents of one source, language and beginning."""
+    cards = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 150).alias("title"), "text")
+    return dedup.near_classes(cards, ["source", "lang", "title"], "text")
