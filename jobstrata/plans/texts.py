@@ -113,6 +113,12 @@ def _sql_visible(e: str) -> str:
 
 @query(f"SELECT page_id, md5({_sql_visible('html')}) AS visible FROM pages")
 def txt_visible(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.visible(F.col("html"), 2_000)).alias("visible"))
+
+
+@query(f"SELECT page_id, md5({_sql_visible('html').removeprefix('substr(').removesuffix(', 1, 2000)')}) AS visible FROM pages")
+def txt_visible_whole(spark, sf_dir):
+    """Digests of all that is read of a page; txt_visible's are of the first 2000 characters, as its SQL says."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.visible(F.col("html"))).alias("visible"))
 
 

@@ -37,3 +37,10 @@ def test_near_copies_of_any_length_fold(spark, tmp_path):
     got = catalogue.queries()["dup_near"](spark, where).collect()
     assert {(r["id"], r["component"], r["members"], r["kept"]) for r in got} == {(i, c, members.count(c), i == c) for i, c in want.items()}
     assert len(got) == len(rows)
+
+
+def test_changes_far_down_a_page_are_seen(spark, tmp_path):
+    body = "<p>seen &amp; read</p>" * 300
+    where = saved(spark, tmp_path, "pages", [(1, "u", body + "a"), (2, "u", body + "b"), (3, "u", body + "<br>a"), (4, "u", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["visible"] for r in catalogue.queries()["txt_visible_whole"](spark, where).collect()}
+    assert got[1] == got[3] != got[2] and got[4] is None
