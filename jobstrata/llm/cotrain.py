@@ -5,8 +5,11 @@ both classes, join the other view's rows with the label it gave them. At the end
 was not fitted on (a logistic curve over its score), and a document's score is the mean of the two calibrated log-odds, a view
 that says nothing about it counting less.
 
-The fit is on a bounded sample: `EACH` labelled rows at most of either label, `POOL` unlabelled ones and `JOIN` a class and round that
-change views. Scoring covers every row. Null and empty texts have no words: the metadata alone, with lengths of zero, decide.
+Only labelled rows are sampled (`EACH` at most of either label). In each round all unlabelled rows are scored on the executors from
+features written once, and every one of which a view is surer than `SURE` teaches the other: the driver adds the gradients of its
+labelled rows and the sums of those of all rows that were given labels, `STEPS` times a round. The given labels of a class weigh
+half of what its labelled rows do, however many they are. Scoring covers every row. Null and empty texts have no words: the
+metadata alone, with lengths of zero, decide.
 Without labels of both kinds, or with empty tables, every score is 0.5. Repeated rows give repeated rows; other columns are ignored.
 """
 
@@ -22,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .learn import Adam, fold, sample, sigmoid, texts
 
-EACH, POOL, JOIN, ROUNDS, BUCKETS = 2_000, 4_000, 200, 3, 1 << 14
+EACH, ROUNDS, STEPS, SURE, BUCKETS = 2_000, 3, 8, 0.9, 1 << 14
 KEEP = 0.5
 _SHAPE = re.compile(r"[^\x20\x09-\x0D]+")
 _META = 10
@@ -114,55 +118,150 @@ class Model:
         return tuple(float(sigmoid(np.float64(z))) for z in (sum(used) / len(used), *own))
 
 
-def fit(labelled: list[tuple], pool: list[tuple], rounds: int = ROUNDS, join: int = JOIN) -> Model:
-    """labelled: (text, lang, source, label, weight); pool: (text, lang, source). Every fifth labelled row is kept for calibration."""
+@dataclass
+class Rows:
+    """Sparse rows of a view: the places and values of all, and which row each belongs to."""
+
+    flat: np.ndarray
+    value: np.ndarray
+    owner: np.ndarray
+    n: int
+
+    @classmethod
+    def of(cls, rows: list) -> Rows:
+        flat, value = (np.concatenate([r[k] for r in rows]) if rows else np.empty(0, kind) for k, kind in ((0, np.int64), (1, float)))
+        return cls(flat, value, np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]), len(rows))
+
+    def raw(self, theta: np.ndarray) -> np.ndarray:
+        """The score of each row; zero of one without features, as it says nothing."""
+        known = np.bincount(self.owner, minlength=self.n) > 0
+        return np.where(known, np.bincount(self.owner, theta[self.flat] * self.value, self.n) + theta[-1], 0.0)
+
+    def gradient(self, theta: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        g = w * (sigmoid(self.raw(theta)) - y)
+        return np.append(np.bincount(self.flat, g[self.owner] * self.value, len(theta) - 1), g.sum())
+
+
+SIZES = (BUCKETS + 5, 8 + 1024)
+_FEATURES = "doc_id long, p0 binary, v0 binary, p1 binary, v1 binary"
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and the features of both views of each row, as bytes of 16-bit places and 32-bit values."""
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Buckets()
+        for batch in batches:
+            out = [[], [], [], []]
+            for t, lang, source in zip(*(batch[c].to_pylist() for c in ("text", "lang", "source")), strict=True):
+                for k, (place, value) in enumerate((content(t, known), metadata(t, lang, source))):
+                    out[2 * k].append(place.astype("<u2").tobytes())
+                    out[2 * k + 1].append(value.astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, pa.binary()) for c in out]], ["doc_id", "p0", "v0", "p1", "v1"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(features, _FEATURES)
+
+
+def taught(free: DataFrame, given: list[np.ndarray], now: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all rows of free, for either view and label: gradients at `now` and how many rows; the last count is of disputed rows.
+
+    A row's label for a view is the one that the other view of `given` is sure of, unless the views are sure of different ones.
+    """
+    sizes = [n + 1 for n in SIZES]
+
+    def label(raw: np.ndarray) -> np.ndarray:
+        p = sigmoid(raw)
+        return np.where(p > SURE, 1, np.where(p < 1 - SURE, 0, -1))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grads, counts = [[np.zeros(n), np.zeros(n)] for n in sizes], np.zeros(5)
+        for batch in batches:
+            rows = []
+            for k in (0, 1):
+                places, values = (batch[f"{c}{k}"].to_pylist() for c in "pv")
+                lengths = [len(x) // 2 for x in places]
+                rows.append(Rows(np.frombuffer(b"".join(places), "<u2").astype(np.int64), np.frombuffer(b"".join(values), "<f4").astype(float), np.repeat(np.arange(len(lengths)), lengths), len(lengths)))
+            said = [label(r.raw(theta)) for r, theta in zip(rows, given, strict=True)]
+            disputed = (said[0] >= 0) & (said[1] >= 0) & (said[0] != said[1])
+            counts[4] += disputed.sum()
+            for k in (0, 1):
+                known = np.bincount(rows[k].owner, minlength=rows[k].n) > 0
+                for y in (0, 1):
+                    taken = (said[1 - k] == y) & ~disputed & known
+                    counts[2 * k + y] += taken.sum()
+                    grads[k][y] += rows[k].gradient(now[k], np.full(rows[k].n, float(y)), taken.astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([*grads[0], *grads[1], counts]).tobytes()], pa.binary())], ["s"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * sum(sizes) + 5)
+        for batch in batches:
+            for x in batch["s"].to_pylist():
+                total += np.frombuffer(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["s"])
+
+    parts = free.mapInArrow(sums, "s binary").withColumn("part", F.spark_partition_id())
+    whole = parts.repartition(4, "part").sortWithinPartitions("part").select("s").mapInArrow(added, "s binary").withColumn("part", F.spark_partition_id())
+    total = np.zeros(2 * sum(sizes) + 5)
+    for r in sorted(whole.collect(), key=lambda r: r["part"]):
+        total += np.frombuffer(r["s"])
+    return total[:-5], total[-5:]
+
+
+def fit(labelled: list[tuple], free: DataFrame | None, rounds: int = ROUNDS, steps: int = STEPS) -> Model:
+    """labelled: (text, lang, source, label, weight); free: features of unlabelled rows. Every fifth labelled row is kept for calibration."""
     if len({r[3] for r in labelled}) < 2 or len(labelled) < 20:
         return Model(None, [])
-    known, sizes = _Buckets(), (BUCKETS + 5, 8 + 1024)
-    both = lambda r: (content(r[0], known), metadata(*r[:3]))
-    rows, free = [both(r) for r in labelled], [both(r) for r in pool]
+    known = _Buckets()
+    rows = [(content(r[0], known), metadata(*r[:3])) for r in labelled]
     y, w = np.array([r[3] for r in labelled], float), np.array([r[4] for r in labelled], float)
     aside = np.arange(len(rows)) % 5 == 0
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside = np.zeros(len(rows), bool)
-    own = [[(rows[i][v], y[i], w[i]) for i in np.flatnonzero(~aside)] for v in (0, 1)]
-    left, history, views = set(range(len(free))), [], []
-    for k in range(rounds + 1):
-        views = [_fit([r for r, *_ in own[v]], np.array([a for _, a, _ in own[v]]), np.array([b for *_, b in own[v]]), sizes[v]) for v in (0, 1)]
-        if k == rounds or not left:
+    use = np.flatnonzero(~aside)
+    own = [Rows.of([rows[i][v] for i in use]) for v in (0, 1)]
+    ya, wa = y[use], w[use] / w[use].sum()
+    thetas = [_fit([rows[i][v] for i in use], ya, wa, SIZES[v]).theta for v in (0, 1)]
+    cuts = np.cumsum([SIZES[0] + 1, SIZES[0] + 1, SIZES[1] + 1])
+    history = []
+    for k in range(rounds if free is not None else 0):
+        given, counts = [t.copy() for t in thetas], np.zeros(5)
+        adams = [Adam(n + 1, 0.05) for n in SIZES]
+        for _ in range(steps):
+            total, counts = taught(free, given, thetas)
+            if not counts[:4].any():
+                break
+            parts = np.split(total, cuts)
+            for v in (0, 1):
+                grad = own[v].gradient(thetas[v], ya, wa)
+                for c in (0, 1):
+                    grad += parts[2 * v + c] * (wa[ya == c].sum() / 2 / max(1.0, counts[2 * v + c]))
+                grad[:-1] += 1e-4 * thetas[v][:-1]
+                adams[v].step(thetas[v], grad)
+        history.append({"round": k + 1, "to_text": int(counts[0] + counts[1]), "to_metadata": int(counts[2] + counts[3]), "disputed": int(counts[4])})
+        if not counts[:4].any():
             break
-        moved: dict[int, tuple[int, float]] = {}
-        for v in (0, 1):
-            at = sorted(left)
-            p = sigmoid(np.array([views[v].raw(free[i][v]) if len(free[i][v][0]) else 0.0 for i in at]))
-            share = float((w * y).sum() / w.sum())
-            top, low = np.argsort(-p, kind="stable")[: max(1, int(2 * join * share))], np.argsort(p, kind="stable")[: max(1, int(2 * join * (1 - share)))]
-            sure = [(at[i], 1.0) for i in top if p[i] > 0.9] + [(at[i], 0.0) for i in low if p[i] < 0.1]
-            for i, label in sure:
-                if i in moved and moved[i][1] != label:
-                    moved[i] = (-1, label)  # the views disagree
-                elif i not in moved:
-                    moved[i] = (1 - v, label)
-        for i, (v, label) in moved.items():
-            if v >= 0 and len(free[i][v][0]):
-                own[v].append((free[i][v], label, float(np.median(w)) / 2))
-        left -= set(moved)
-        history.append({"round": k + 1, "to_text": sum(v == 0 for v, _ in moved.values()), "to_metadata": sum(v == 1 for v, _ in moved.values()), "disputed": sum(v < 0 for v, _ in moved.values())})
     held = np.flatnonzero(aside) if aside.any() else np.arange(len(rows))
     final = []
     for v in (0, 1):
-        use = [i for i in held if len(rows[i][v][0])]
-        final.append(_calibrated(views[v], [rows[i][v] for i in use], y[use], w[use]))
+        kept = [i for i in held if len(rows[i][v][0])]
+        final.append(_calibrated(View(thetas[v]), [rows[i][v] for i in kept], y[kept], w[kept]))
     return Model((final[0], final[1]), history)
 
 
-def trained(docs: DataFrame, labels: DataFrame, each: int = EACH, pool: int = POOL) -> Model:
-    """A model of bounded samples of docs; labels of fold 0 are never used. Unlabelled documents are chosen by the hash of their ids."""
+def trained(docs: DataFrame, labels: DataFrame, each: int = EACH, pool: int | None = None) -> Model:
+    """A model of a bounded sample of labelled docs and of all unlabelled ones; labels of fold 0 are never used.
+
+    With a pool, only so many unlabelled documents are used, chosen by the hash of their ids.
+    """
     chosen = sample(labels.select("doc_id", "quality"), "quality", each)
     own = docs.select("doc_id", "text", "lang", "source")
-    ids = own.select("doc_id").where(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     rows = [(r["text"], r["lang"], r["source"], r["y"], r["weight"]) for r in texts(own, chosen)]
-    return fit(rows, [(r["text"], r["lang"], r["source"]) for r in texts(own, ids)])
+    if len({r[3] for r in rows}) < 2:
+        return Model(None, [])
+    free = own.where(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti")
+    if pool is not None:
+        free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
+    return fit(rows, stored(featured(free), "features"))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -4,7 +4,7 @@ import corpus_pipeline
 import duckdb
 from pyspark.sql import functions as F
 
-from jobstrata.llm import queries, rules
+from jobstrata.llm import cotrain, queries, rules
 
 
 def test_marks_between_words_are_rejected_under_v2(spark):
@@ -27,3 +27,13 @@ def test_rules_under_v2_equal_their_sql(spark, sf):
     got = queries.op5_quality_rules_v2(spark, sf)
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(said.fetchall())
     assert got.where(F.col("kept")).count() < rules.decided(rules.ledger(spark.read.parquet(f"{sf}/documents.parquet"))).where("kept").count()
+
+
+def test_given_labels_grow_with_the_unlabelled_rows(spark):
+    text = lambda i: "good plain words of prose here " * 12 if i % 2 else "buy # now $ win % "  * 20
+    n = 5_000
+    docs = spark.createDataFrame([(i, text(i) + f"t{i}", "en", "rare" if i == n else "usual") for i in range(n + 1)], "doc_id long, text string, lang string, source string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = cotrain.trained(docs, labels)
+    assert model.history[-1]["to_text"] > 4_000 and model.history[-1]["to_metadata"] > 4_000  # not a few hundred of a pool of 4000
+    assert model.views[1].theta[cotrain.metadata("", "en", "rare")[0][-1]] != 0  # met in one unlabelled row alone
