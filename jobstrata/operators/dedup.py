@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .identity import components, scratch
+from .identity import components
+from .tables import stored
 
 
 def collapsed(cards: DataFrame, fingerprint: str, order: list[Column]) -> DataFrame:
@@ -79,10 +80,10 @@ def near_classes(cards: DataFrame, block: list[str], text: str, least: float = 0
     key = F.sha2(F.to_json(F.struct(*block)), 256)
     same = Window.partitionBy("key", "digest")
     keyed = cards.where(F.length(text) >= shortest).select("id", key.alias("key"), F.sha2(text, 256).alias("digest"))
-    own = scratch(keyed.select("id", "key", F.min("id").over(same).alias("first"), F.max("id").over(same).alias("last")), "keyed")
+    own = stored(keyed.select("id", "key", F.min("id").over(same).alias("first"), F.max("id").over(same).alias("last")), "keyed")
     firsts = own.where("id = first").distinct()
     several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    read = scratch(cards.select("id", F.col(text).alias("t")).join(firsts.join(several, "key", "left_semi"), "id").select("id", "key", "last", "t"), "texts")
+    read = stored(cards.select("id", F.col(text).alias("t")).join(firsts.join(several, "key", "left_semi"), "id").select("id", "key", "last", "t"), "texts")
     pairs = blocked_pairs(read, ["key"], length_bound(F.col("l.t"), F.col("r.t"), least))
     given = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.last").alias("last"), F.col("l.t").alias("ta"), F.col("r.t").alias("tb"))
     whole = components(given.mapInPandas(lambda it: _matches(it, least), "a long, b long")).withColumnRenamed("node", "first")

@@ -2,40 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df, written in the folder of spark.checkpoint.dir and read again."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .tables import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of a graph of edges (a, b), by large-star and small-star rounds.
+    """node and component (its smallest node) of a graph of edges (a, b), by large-star and small-star rounds. Null edges are dropped.
 
-    Each round is written to the shared folder; one count and one checksum come to the driver.
+    Each round is written to the shared folder; one count and two checksums come to the driver. The smallest neighbours are written,
+    too, so that their join is one of two plain exchanges, which Spark splits where a node has very many neighbours.
     """
-    now = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    while (mark := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()) != before and mark[0]:
+    while (mark := now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("b", "a"))).first()) != before and mark[0]:
         before = mark
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = scratch(moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        now = stored(moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 

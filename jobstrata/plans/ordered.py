@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import monitor, sampling
+from ..operators.tables import new_path
 from ..streaming import feeds
 from .catalogue import query, table
 
@@ -135,7 +134,7 @@ def str_feed(spark, sf_dir):
 @query()
 def str_feed_stream(spark, sf_dir):
     """The same feed, replayed as files through Structured Streaming; tests hold it against the batch form."""
-    root = tempfile.mkdtemp(prefix="spark-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/feed-{spark.sparkContext.applicationId}-{id(object())}"
+    root = new_path(spark, "feed")
     e = table(spark, sf_dir, "events")
     ads = e.select((F.col("event_id") % 500).alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("removed"), F.concat("event_type", F.floor("value").cast("int").cast("string")).alias("title"))
     ads.repartition(4).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{root}/in")
