@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import new_path, stored, where_known  # noqa: F401
+
 #: ASCII white space; Python's bytes.split() splits at just these.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,30 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one is set only where none is (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def where_known(df: DataFrame, condition: Column) -> DataFrame:
-    """df where the condition holds, evaluated on the columns as computed: not pushed below them, which would compute them anew."""
-    return df.withColumn("__n", F.monotonically_increasing_id()).where(condition & (F.col("__n") >= 0)).drop("__n")
-
-
-def lean(spark: SparkSession, rows: int = 1_000) -> None:
-    """Arrow batches of few rows from now on in this session: rows here hold whole texts or sets, and two workers share an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def lean(spark: SparkSession, rows: int = 3_000) -> Iterator[None]:
+    """Arrow batches of few rows for the queries that run inside: rows here hold whole texts or sets, and two workers share an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def words(text: Column) -> Column:

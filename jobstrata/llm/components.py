@@ -1,38 +1,5 @@
-"""Connected components of a graph of links, by alternating large-star and small-star steps."""
+"""Connected components, as the rest of the library has them."""
 
-from __future__ import annotations
+from ..operators.identity import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stored
-
-
-def _large(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small(links: DataFrame) -> DataFrame:
-    """Every smaller neighbour of a node, and the node, are linked to the smallest of them. links have a > b."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node and component (the smallest node reachable, itself included) of each node of the links (a, b).
-
-    Each round is written to the shared folder; the driver gets one row a round, a count and a checksum. Null links are dropped.
-    """
-    now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
-    while True:
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.hash("b", "a"))).first()
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
-        now = stored(_small(_large(now)), "links")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+__all__ = ["components"]

@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
 
 SPACE = "▁"
 #: What a character of no piece costs beyond the worst piece, as in the library's own lattice.
@@ -287,14 +286,14 @@ def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) ->
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segmenter(model, limit)
-        for batch in batches:
-            out = []
-            for text in batch["text"].to_pylist():
-                some = known.packed(text, n)
-                score, packed = some[0]
-                out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or "")))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip"])
-
-    lean(docs.sparkSession)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):  # texts become Python objects a few at a time
+                batch, out = whole.slice(at, 1_000), []
+                for text in batch["text"].to_pylist():
+                    some = known.packed(text, n)
+                    score, packed = some[0]
+                    out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or "")))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip"])
+
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best int, last_score double, round_trip boolean")

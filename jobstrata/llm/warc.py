@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import scratch, stored
+from .common import new_path, stored
 
 LEAST = 100
 SCHEMA = "record_type string, page_id long, target_uri string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -207,7 +207,7 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def archived(pages: DataFrame, path: str | None = None, least: int = LEAST) -> str:
     """Writes the archive of pages; the path of its folder."""
-    path = path or f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = path or new_path(pages.sparkSession, "warc")
     registered(pages.sparkSession)
     plan(pages, least).write.format("warc").mode("append").option("path", path).save()
     return path

@@ -4,7 +4,7 @@ import corpus_pipeline
 import duckdb
 from pyspark.sql import functions as F
 
-from jobstrata.llm import cotrain, queries, rules
+from jobstrata.llm import cotrain, jaccard, queries, rules
 
 
 def test_marks_between_words_are_rejected_under_v2(spark):
@@ -37,3 +37,24 @@ def test_given_labels_grow_with_the_unlabelled_rows(spark):
     model = cotrain.trained(docs, labels)
     assert model.history[-1]["to_text"] > 4_000 and model.history[-1]["to_metadata"] > 4_000  # not a few hundred of a pool of 4000
     assert model.views[1].theta[cotrain.metadata("", "en", "rare")[0][-1]] != 0  # met in one unlabelled row alone
+
+
+def test_texts_of_one_template_are_never_compared(spark, monkeypatch):
+    """Nine words, one of which differs: four of five shingles are everyone's, but no two documents link."""
+    made = []
+    plain = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda sets, pairs, percent: made.append(pairs.count()) or plain(sets, pairs, percent))
+    monkeypatch.setattr(jaccard, "compared", lambda *_: 1 / 0)
+    docs = spark.range(2_000).selectExpr("id AS doc_id", "concat('one form that all of these notes share ', id) AS text")
+    assert jaccard.joined(docs).where("doc_id = component_id AND n_shingles = 5").count() == 2_000
+    assert sum(made) <= 3 * 2_000
+
+
+def test_rows_with_one_id_are_one_document(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " end"), (2, "other words altogether here and now"), (None, text), (None, text), (3, "x"), (3, "x y"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.joined(docs).collect()}
+    assert got == {1: (56, 1), 2: (57, 1), 3: (1, 3), 4: (0, 4)}
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.representatives(docs).collect())
+    assert kept == [(0, text), (0, text), (1, text), (3, "x y"), (4, "")]
