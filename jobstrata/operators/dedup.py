@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import GENERIC, LONE_NAME
 from .identity import components
 from .tables import stored
 
@@ -90,3 +91,58 @@ def near_classes(cards: DataFrame, block: list[str], text: str, least: float = 0
     known = own.select("id", "first").distinct().join(whole, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
     found = cards.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return found.select("id", "component", F.count(F.lit(1)).over(Window.partitionBy("component")).alias("members"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def stacked(cards: pd.DataFrame) -> pd.DataFrame:
+    """The cards (id, firm, name) of one title and place with `similar`, the smallest id of their stack; alone it is null.
+
+    A card joins the first stack with all of whose members it matches, in the order of ids (complete link: aliases form no chain).
+    """
+    from ..functions.text import LEGAL
+
+    def words(name: str) -> list[str]:
+        return [w for w in name.lower().split() if len(w) > 1 and w not in LEGAL]
+
+    def same(x, y) -> bool:
+        if x.firm == y.firm:
+            return True
+        a, b = words(x.name or ""), words(y.name or "")
+        return len(a) > 1 and a[:2] == b[:2] or bool(a and b and a[0] == b[0] and len(a[0]) >= LONE_NAME and a[0] not in GENERIC)
+
+    stacks: list[list] = []
+    kinds: dict[tuple, int] = {}
+    for card in cards.sort_values("id").itertuples():
+        kind = (card.firm, card.name)
+        at = kinds.get(kind)
+        if at is None:
+            at = next((k for k, s in enumerate(stacks) if all(same(card, other) for other in s)), len(stacks))
+            if at == len(stacks):
+                stacks.append([])
+            kinds[kind] = at
+            stacks[at].append(card)
+    owner = [kinds[(f, n)] for f, n in zip(cards["firm"], cards["name"], strict=True)]
+    own = cards.assign(stack=owner)
+    size = own.groupby("stack")["id"].transform("size")
+    least = own.groupby("stack")["id"].transform("min")
+    return pd.DataFrame({"id": own["id"], "similar": least.where(size > 1)}).astype({"similar": "Int64"})
+
+
+def stacks(cards: DataFrame, title: str, place: str) -> DataFrame:
+    """DUP-04: id and similar of cards (id, firm, name) of one title and place; without a title, place or firm a card stands alone.
+
+    Greedy in the order of ids. One row for each different (firm, name) of a title and place goes to its task, so copies cost nothing there.
+    """
+    good = (F.col(title) != "") & (F.col(place) != "") & F.col("firm").isNotNull()
+    named = cards.select("id", "firm", F.coalesce("name", F.lit("")).alias("name"), F.col(title).alias("__t"), F.col(place).alias("__p")).where(good)
+    kinds = named.groupBy("__t", "__p", "firm", "name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds, "kinds")
+
+    def stack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        out = stacked(group)
+        least = out["similar"].fillna(group["id"]).astype("int64")
+        total = group.assign(least=least).groupby("least")["n"].transform("sum")
+        return pd.DataFrame({"__t": group["__t"], "__p": group["__p"], "firm": group["firm"], "name": group["name"], "similar": least.where(total > 1)}).astype({"similar": "Int64"})
+
+    told = kinds.groupBy("__t", "__p").applyInPandas(stack, "__t string, __p string, firm string, name string, similar long")
+    own = named.join(stored(told, "stacks"), ["__t", "__p", "firm", "name"]).select("id", "similar")
+    return cards.select("id").join(own, "id", "left")
