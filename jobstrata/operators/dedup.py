@@ -38,6 +38,29 @@ def folded(cards: DataFrame, pairs: DataFrame, rank: list[Column]) -> DataFrame:
     return own.withColumn("__r", F.row_number().over(w.orderBy(*rank))).withColumn("members", F.count(F.lit(1)).over(w)).where("__r = 1").drop("__r")
 
 
+def across(cards: DataFrame, title: str, rank: list[Column]) -> DataFrame:
+    """DUP-02: the best card of each cluster of one title, with members. Two cards are one posting if they come from different portals, their
+    hubs overlap and their firms' names mean one firm (`same_firm`); clusters are transitive.
+
+    cards: id, portal, hubs, firm. A title's cards are compared through what they must share, a hub and a name's first word; cards alike in
+    portal, hubs and firm are one before that, so copies make no pairs.
+    """
+    from ..functions.names import identity_tokens, same_firm
+
+    kind = ["__title", "portal", "hubs", "firm"]
+    named = cards.withColumn("__title", F.col(title)).withColumn("hubs", F.array_sort(F.array_distinct("hubs")))
+    keyed = stored(named.groupBy(*kind).agg(F.min("id").alias("first")), "kinds")
+    spread = keyed.withColumn("word", F.get(identity_tokens(F.col("firm")), F.lit(0))).select("*", F.explode("hubs").alias("hub"))
+    side = lambda n: spread.select("__title", "hub", "word", F.struct("first", "portal", "firm").alias(n))
+    met = side("l").join(side("r"), ["__title", "hub", "word"]).where((F.col("l.first") < F.col("r.first")) & (F.col("l.portal") != F.col("r.portal")) & same_firm(F.col("l.firm"), F.col("r.firm")))
+    linked = met.select(F.col("l.first").alias("a"), F.col("r.first").alias("b")).distinct()
+    # cards of one kind match the same others, so where a kind has a partner all its cards are in one cluster; without one they aren't
+    whole = components(linked).withColumnRenamed("node", "first")
+    own = named.join(keyed.join(whole, "first"), kind, "left").withColumn("component", F.coalesce("component", "id"))
+    w = Window.partitionBy("component")
+    return own.withColumn("__r", F.row_number().over(w.orderBy(*rank))).withColumn("members", F.count(F.lit(1)).over(w)).where("__r = 1").drop("__r", "__title", "first")
+
+
 def length_bound(a: Column, b: Column, least: float) -> Column:
     """Whether two texts' lengths allow a ratio of matching characters of `least`: it is at most 2 * shorter / both."""
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))

@@ -80,7 +80,7 @@ def roster(lines: DataFrame) -> DataFrame:
     p = F.split("value", ",", 6)
     at = lambda i: F.trim(F.coalesce(F.get(p, F.lit(i)), F.lit("")))
     rows = lines.where(~F.col("value").rlike(r"^\s*(#|$)"))
-    aliases = F.filter(F.transform(F.split(at(3), r"\|"), F.trim), lambda x: x != "")
+    aliases = F.filter(F.transform(F.split(at(3), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return rows.select(at(0).alias("hub"), at(1).alias("priority"), at(2).alias("name"), aliases.alias("aliases"), at(4).alias("status"), at(5).alias("note")).where("hub <> 'hub'")
 
 
