@@ -9,23 +9,23 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
 LONG = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"))
-#: Names that punctuation would destroy, in the order in which they are replaced.
-SYMBOLS = (("c++", " cplusplus "), ("c#", " csharp "), (".net", " dotnet "), ("f#", " fsharp "))
+#: Marks that belong to a name when they follow a letter, as in the names of programming languages, and the words they become.
+MARKS = ((r"([a-z])[+][+]", "plusplus "), ("([a-z])#", "sharp "))
 LEGAL = ("ab", "ag", "as", "asa", "bv", "co", "corp", "gmbh", "inc", "kg", "limited", "llc", "llp", "ltd", "nv", "oy", "plc", "sa", "se", "srl")
 
 
 def fold(*parts: Column) -> Column:
-    """Parts as one padded line of lower-case tokens: tags go, accents go, symbols' names stay, the rest is space.
+    """Parts as one padded line of lower-case tokens: tags go, accents go, marks after a letter are spelt out, the rest is space.
 
     The German sharp s and the ligatures become two letters; other special case foldings of Unicode aren't applied.
     """
-    text = F.lower(F.regexp_replace(F.concat_ws(" ", *parts), "<[^>]+>", " "))
-    for a, b in LONG:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    text = F.translate(text, ACCENTED, PLAIN)
-    for a, b in SYMBOLS:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, "[^a-z0-9+#]+", " ")), F.lit(" "))
+    text = F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), "<[^>]+>", " ")
+    for mark, word in MARKS:
+        text = F.regexp_replace(text, mark, f"$1{word}")
+    for pair, letters in LONG:
+        text = F.replace(text, F.lit(pair), F.lit(letters))
+    tokens = F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[^a-z0-9+#]+", " ")
+    return F.concat(F.lit(" "), F.trim(tokens), F.lit(" "))
 
 
 def normal(text: Column, limit: int = 200_000) -> Column:

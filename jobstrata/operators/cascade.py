@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import computed
+
 
 @dataclass(frozen=True)
 class Has:
@@ -150,4 +152,5 @@ def tags(rows: DataFrame, key: list[str], steps: Sequence[Ladder | Several], con
         else:
             own = F.when(F.size(step.name) > 0, F.col(step.name)).otherwise(F.array(F.lit("unknown")))
             each.append(F.transform(own, _tag(step.name)))
-    return rows.select(*key, confidence.alias("confidence"), F.inline(F.concat(*each))).select(*key, "dimension", "value", "confidence", "evidence")
+    listed = computed(rows.select(*key, confidence.alias("confidence"), F.concat(*each).alias("__tags")))
+    return listed.select(*key, "confidence", F.inline("__tags")).select(*key, "dimension", "value", "confidence", "evidence")

@@ -9,11 +9,12 @@ import hashlib
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phrases import every_rung, first_rung, hits
 from ..functions.text import fold
+from .tables import computed
 
 #: dimension -> value -> phrases, in the order of priority. A small one of its own, over words of any prose.
 VOCABULARY: Mapping[str, Mapping[str, list[str]]] = {
@@ -41,6 +42,43 @@ def tagged(rows: DataFrame, terms: DataFrame, key: list[str], text: str, dimensi
     return out.select(*key, "dimension", F.coalesce("value", F.lit("unknown")).alias("value"), "confidence", "evidence", F.lit(tagger).alias("tagger"))
 
 
+def found_phrases(folded: Column, phrases: list[str]) -> Column:
+    """Those of the phrases that a padded folded text has as whole tokens, in their order: words by intersection, runs of words by search."""
+    words = [p for p in phrases if " " not in p]
+    runs = [p for p in phrases if " " in p]
+    one = F.array_intersect(F.array(*[F.lit(p) for p in words]).cast("array<string>"), F.split(F.trim(folded), " "))
+    return F.concat(one, F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(f" {p} ")), p) for p in runs]))) if runs else one
+
+
+def tag_list(found: Column, confidence: Column, vocabulary: Mapping[str, Mapping[str, list[str]]] = VOCABULARY, multiple: tuple[str, ...] = MULTIPLE) -> Column:
+    """The tags (dimension, value, confidence, evidence) that found phrases give: one value of a ladder by its order, every value of the
+    `multiple` dimensions, `unknown` where there is none. One expression a row: no join and no shuffle."""
+    tag = lambda d, v, e: F.struct(F.lit(d).alias("dimension"), F.lit(v).alias("value"), confidence.alias("confidence"), e.alias("evidence"))
+    parts = []
+    for dimension, ladder in vocabulary.items():
+        proof = {v: F.get(F.array_intersect(F.array(*[F.lit(p) for p in phrases]), found), F.lit(0)) for v, phrases in ladder.items()}
+        hits = [F.when(e.isNotNull(), tag(dimension, v, e)) for v, e in proof.items()]
+        unknown = tag(dimension, "unknown", F.lit(None).cast("string"))
+        if dimension in multiple:
+            own = F.array_compact(F.array(*hits))
+            parts.append(F.when(F.size(own) > 0, own).otherwise(F.array(unknown)))
+        else:
+            parts.append(F.array(F.coalesce(*hits, unknown)))
+    return F.concat(*parts)
+
+
+def with_tags(rows: DataFrame, text: str, vocabulary: Mapping[str, Mapping[str, list[str]]] = VOCABULARY, multiple: tuple[str, ...] = MULTIPLE) -> DataFrame:
+    """rows with `tags`, in one pass over the text; for vocabularies of some hundred phrases, `tagged` takes larger ones.
+
+    Phrases are a column of their own that no filter and no generator above computes anew, so the text is folded once.
+    """
+    every = list(dict.fromkeys(p for ladder in vocabulary.values() for phrases in ladder.values() for p in phrases))
+    kept = [c for c in rows.columns if c != text]
+    folded = rows.select(*kept, fold(F.col(text)).alias("__f"), F.when(F.length(text) > STRONG, "strong").otherwise("weak").alias("__c"))
+    found = computed(folded.select(*kept, "__c", found_phrases(F.col("__f"), every).alias("__p")))
+    return found.select(*kept, tag_list(F.col("__p"), F.col("__c"), vocabulary, multiple).alias("tags"))
+
+
 def pending(rows: DataFrame, tags: DataFrame, key: list[str], tagger: int) -> DataFrame:
     """Rows without a tag of the current version."""
     return rows.join(tags.where(F.col("tagger") == tagger).select(*key).distinct(), key, "left_anti")

@@ -55,11 +55,11 @@ SENIORITY = Ladder(
     (Rule("executive", (_has("t", "chief", "vice president"), _lacks("t", "assistant to the chief", "compliance officer"))), Rule("lead", (_has("t", "head of", "lead", "principal"),)), Rule("senior", (_has("t", "senior", "staff"),)), Rule("intern", (Holds("student_title"),)), Rule("junior", (_has("t", "junior", "graduate"),)), Rule("mid", (_has("t", "experienced"),)), Rule("senior", (_has("b", "seasoned professional"),))),
 )
 #: CLS-16
-CODE_DEPTH = Ladder("code_depth", (Rule("systems", (_has("x", "c++", "rust"),)), Rule("engineering", (_has("x", "software engineer", "pipelines"),)), Rule("scripting", (_has("x", "python", "r scripts"),)), Rule("query", (_has("x", "sql"),)), Rule("none", (_has("x", "no coding"),))), "unstated")
+CODE_DEPTH = Ladder("code_depth", (Rule("systems", (_has("x", "cplusplus", "rust"),)), Rule("engineering", (_has("x", "software engineer", "pipelines"),)), Rule("scripting", (_has("x", "python", "r scripts"),)), Rule("query", (_has("x", "sql"),)), Rule("none", (_has("x", "no coding"),))), "unstated")
 #: CLS-17: a student's title is an internship whatever the body says.
 CONTRACT = Ladder("contract", (Rule("internship", (Holds("student_title"),)), Rule("internship", (_has("x", "internship"),)), Rule("fixed_term", (_has("x", "fixed term", "temporary"),)), Rule("freelance", (_has("x", "freelance"),)), Rule("permanent", (_has("x", "permanent"),))), "unstated")
 #: CLS-18
-TOOLS = Several("language", tuple(Rule(v, (_has("x", p),)) for v, p in (("python", "python"), ("sql", "sql"), ("scala", "scala"), ("cpp", "c++"), ("csharp", "c#"), ("rust", "rust"))))
+TOOLS = Several("language", tuple(Rule(v, (_has("x", p),)) for v, p in (("python", "python"), ("sql", "sql"), ("scala", "scala"), ("cpp", "cplusplus"), ("csharp", "csharp"), ("rust", "rust"))))
 #: CLS-19: cities, then what is left of a country; of places without either nothing is known.
 CITIES = {"stockholm": "sweden", "malmo": "sweden", "berlin": "germany", "munich": "germany", "paris": "france"}
 HUB = Several("hub", tuple(Rule(c, (_has("l", c),)) for c in CITIES) + tuple(Rule(c, (_has("l", c),)) for c in dict.fromkeys(CITIES.values())))

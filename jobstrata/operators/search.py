@@ -17,6 +17,26 @@ def faceted(rows: DataFrame, tags: DataFrame, key: list[str], require: Mapping[s
     return rows
 
 
+def _one_of(dimension: str, values: Sequence[str]):
+    return lambda t: (t["dimension"] == dimension) & t["value"].isin(*values)
+
+
+def facets(tags: str, require: Mapping[str, Sequence[str]], exclude: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """The same test on a column of tags: rows that keep their tags in a list need no join."""
+    out = F.lit(True)
+    for dimension, values in require.items():
+        out = out & F.exists(tags, _one_of(dimension, values))
+    for dimension, values in (exclude or {}).items():
+        out = out & ~F.exists(tags, _one_of(dimension, values))
+    return out
+
+
+def wide_columns(tags: str, single: Sequence[str], multiple: Sequence[str]) -> list[Column]:
+    """As `wide`, from a column of tags."""
+    of = lambda d: F.transform(F.filter(tags, lambda t: (t["dimension"] == d) & (t["value"] != "unknown")), lambda t: t["value"])
+    return [*[F.array_max(of(d)).alias(d) for d in single], *[F.array_sort(F.array_distinct(of(d))).alias(d) for d in multiple]]
+
+
 def ranked(value: Column, order: Sequence[str]) -> Column:
     """The place of a value in an order; what isn't in it comes last."""
     out = F.lit(len(order))

@@ -13,12 +13,12 @@ from .catalogue import query, table
 
 
 def sql_fold(e: str) -> str:
-    t = f"lower(regexp_replace({e}, '<[^>]+>', ' ', 'g'))"
+    t = f"regexp_replace(lower({e}), '<[^>]+>', ' ', 'g')"
+    for mark, word in tx.MARKS:
+        t = f"regexp_replace({t}, '{mark}', '\\1{word}', 'g')"
     for a, b in tx.LONG:
         t = f"replace({t}, '{a}', '{b}')"
     t = f"translate({t}, '{tx.ACCENTED}', '{tx.PLAIN}')"
-    for a, b in tx.SYMBOLS:
-        t = f"replace({t}, '{a}', '{b}')"
     return f"(' ' || trim(regexp_replace({t}, '[^a-z0-9+#]+', ' ', 'g')) || ' ')"
 
 
@@ -46,9 +46,13 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.hits(docs, ["doc_id"], "f", phrases.vocabulary(spark, classify.VOCABULARY))
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' other columns with `tags`, a list."""
+    return classify.with_tags(table(spark, sf_dir, "documents"), "text")
+
+
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = phrases.vocabulary(spark, classify.VOCABULARY)
-    return classify.tagged(table(spark, sf_dir, "documents"), terms, ["doc_id"], "text", list(classify.VOCABULARY))
+    return _tagged(spark, sf_dir).select("doc_id", F.inline("tags")).withColumn("tagger", F.lit(1))
 
 
 @query(f"WITH {TAGS} SELECT dimension, value, count(*) AS n FROM t WHERE value <> 'unknown' GROUP BY ALL ORDER BY n DESC, dimension, value LIMIT 10")
@@ -163,14 +167,13 @@ def cls_pending(spark, sf_dir):
 @query(f"WITH {TAGS} SELECT doc_id, max(CASE WHEN dimension = 'register' AND value <> 'unknown' THEN value END) AS register, coalesce(list_sort(list(DISTINCT value) FILTER (dimension = 'topic' AND value <> 'unknown')), []) AS topic FROM t GROUP BY doc_id")
 def prj_wide(spark, sf_dir):
     """PRJ-02, AGG-20: one row a document."""
-    return search.wide(_tags(spark, sf_dir), ["doc_id"], ["register"], ["topic"])
+    return _tagged(spark, sf_dir).select("doc_id", *search.wide_columns("tags", ["register"], ["topic"]))
 
 
 @query(f"WITH {TAGS} SELECT doc_id, lang FROM documents AS d WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = d.doc_id AND dimension = 'topic' AND value IN ('place', 'person')) AND NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = d.doc_id AND dimension = 'register' AND value = 'legal') ORDER BY CASE lang WHEN 'es' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, doc_id DESC LIMIT 50")
 def flt_faceted(spark, sf_dir):
     """FLT-02, FLT-14, SRT-01: AND across dimensions, OR within, none of the excluded; ranked top 50."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    found = search.faceted(docs, _tags(spark, sf_dir), ["doc_id"], {"topic": ["place", "person"]}, {"register": ["legal"]})
+    found = _tagged(spark, sf_dir).where(search.facets("tags", {"topic": ["place", "person"]}, {"register": ["legal"]})).select("doc_id", "lang")
     return found.orderBy(search.ranked(F.col("lang"), ["es", "en"]), F.desc("doc_id")).limit(50)
 
 
