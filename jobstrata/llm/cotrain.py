@@ -1,4 +1,6 @@
-"""Quality by co-training: a classifier of the text's words and one of the page's metadata teach each other over rounds.
+"""Quality by co-training: a classifier of the text and one of the page's record (language, source, stated length) teach each other over rounds.
+
+The views share no input: the first reads the text alone, the second never does.
 
 Both are fitted on labelled rows. In each round either view scores unlabelled documents, and those of which it is most sure, of
 both classes, join the other view's rows with the label it gave them. At the end each view is calibrated on labelled rows that it
@@ -9,8 +11,9 @@ Only labelled rows are sampled (`EACH` at most of either label). In each round a
 features written once, and every one of which a view is surer than `SURE` teaches the other: the driver adds the gradients of its
 labelled rows and the sums of those of all rows that were given labels, `STEPS` times a round. The given labels of a class weigh
 half of what its labelled rows do, however many they are. Scoring covers every row. Null and empty texts have no words: the
-metadata alone, with lengths of zero, decide.
-Without labels of both kinds, or with empty tables, every score is 0.5. Repeated rows give repeated rows; other columns are ignored.
+metadata alone decide; a null in the record is a value like another, a null length says nothing. Very long texts take linear time and one
+of them is held at a time. Ties: a row of which both views are sure and say different things teaches nobody; score >= KEEP keeps.
+Without labels of both kinds, or with an empty table of labels, every score is 0.5; no documents give no rows. Null ids are scored and never learnt from. Repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .learn import Adam, fold, sample, sigmoid, texts
+from .learn import Adam, fold, sample, sigmoid
 
-EACH, ROUNDS, STEPS, SURE, BUCKETS = 2_000, 3, 8, 0.9, 1 << 14
+EACH, ROUNDS, STEPS, SURE, BUCKETS = 2_000, 3, 4, 0.9, 1 << 14
 KEEP = 0.5
 _SHAPE = re.compile(r"[^\x20\x09-\x0D]+")
-_META = 10
+_SHAPES, _LAYOUT, _LENGTHS, _TAGS = 5, 7, 48, 1024
 
 
 class _Buckets(dict):
@@ -55,16 +58,24 @@ def content(text: str | None, known: _Buckets) -> tuple[np.ndarray, np.ndarray]:
     repeat = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     marks = sum(not w[-1].isalnum() and w[-1] not in ".,;:!?\"')" for w in words) / n
     shape = np.array([repeat, marks, len(number) / n, sum(map(str.isupper, words)) / n, min(1.0, n / 50)])
-    return np.append(number, BUCKETS + np.arange(5)), np.append(share, shape)
+    return np.append(number, BUCKETS + np.arange(_SHAPES)), np.append(share, shape)
+
 
+def metadata(page: int | str | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and weights of what a page's record says: the length it states, its language, its source, and both of these.
 
-def metadata(text: str | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and weights of what a page's record says without reading it: language, source, length and layout."""
-    t = text or ""
-    n, lines = len(t), t.count("\n") + 1
-    layout = np.array([1.0, np.log1p(n) / 12, np.log1p(lines) / 8, np.log1p(n / lines) / 10, t.count("  ") / (n + 1), sum(map(t.count, "#*$%&|<>")) * 10 / (n + 1), t.count("!") * 10 / (n + 1), float(n < 300)])
-    tags = [8 + zlib.crc32(f"{k}:{v}".encode("utf-8", "surrogatepass")) % 1024 for k, v in (("lang", lang), ("source", source))]
-    return np.append(np.arange(8), tags), np.append(layout, [1.0, 1.0])
+    page: the stated length. Of a table whose records state none the page itself, of which only the layout is read, no words.
+    """
+    spots, values = [0], [1.0]
+    if isinstance(page, str):
+        n, lines = len(page), page.count("\n") + 1
+        spots += range(1, 1 + _LAYOUT)
+        values += [np.log1p(n) / 12, np.log1p(lines) / 8, np.log1p(n / lines) / 10, page.count("  ") / (n + 1), sum(map(page.count, "#*$%&|<>")) * 10 / (n + 1), page.count("!") * 10 / (n + 1), float(n < 300)]
+    elif page is not None:
+        spots.append(1 + _LAYOUT + min(_LENGTHS - 1, int(2 * np.log2(max(0, page) + 1))))
+        values.append(1.0)
+    own = [1 + _LAYOUT + _LENGTHS + zlib.crc32(k.encode("utf-8", "surrogatepass")) % _TAGS for k in (f"both:{lang}:{source}", f"lang:{lang}", f"source:{source}")]
+    return np.array([*spots, *own], np.int64), np.array([*values, 1.0, 1.0, 1.0])
 
 
 @dataclass
@@ -142,24 +153,38 @@ class Rows:
         return np.append(np.bincount(self.flat, g[self.owner] * self.value, len(theta) - 1), g.sum())
 
 
-SIZES = (BUCKETS + 5, 8 + 1024)
+SIZES = (BUCKETS + _SHAPES, 1 + _LAYOUT + _LENGTHS + _TAGS)
 _FEATURES = "doc_id long, p0 binary, v0 binary, p1 binary, v1 binary"
 
 
+_INPUTS = ("text", "page", "lang", "source")
+
+
+def _inputs(docs: DataFrame) -> DataFrame:
+    """doc_id and what the views read: page is the stated length, or the text of a table without one, for its layout."""
+    page = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.col("text")
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", page.alias("page"))
+
+
+def _unpacked(places: bytes, values: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(places, "<u2").astype(np.int64), np.frombuffer(values, "<f4").astype(float)
+
+
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id and the features of both views of each row, as bytes of 16-bit places and 32-bit values."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets()
-        for batch in batches:
-            out = [[], [], [], []]
-            for t, lang, source in zip(*(batch[c].to_pylist() for c in ("text", "lang", "source")), strict=True):
-                for k, (place, value) in enumerate((content(t, known), metadata(t, lang, source))):
-                    out[2 * k].append(place.astype("<u2").tobytes())
-                    out[2 * k + 1].append(value.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, pa.binary()) for c in out]], ["doc_id", "p0", "v0", "p1", "v1"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, out = whole.slice(at, 500), [[], [], [], []]
+                for t, *record in zip(*(batch[c].to_pylist() for c in _INPUTS), strict=True):
+                    for k, (place, value) in enumerate((content(t, known), metadata(*record))):
+                        out[2 * k].append(place.astype("<u2").tobytes())
+                        out[2 * k + 1].append(value.astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, pa.binary()) for c in out]], ["doc_id", "p0", "v0", "p1", "v1"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(features, _FEATURES)
+    return _inputs(docs).mapInArrow(features, _FEATURES)
 
 
 def taught(free: DataFrame, given: list[np.ndarray], now: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -208,12 +233,12 @@ def taught(free: DataFrame, given: list[np.ndarray], now: list[np.ndarray]) -> t
 
 
 def fit(labelled: list[tuple], free: DataFrame | None, rounds: int = ROUNDS, steps: int = STEPS) -> Model:
-    """labelled: (text, lang, source, label, weight); free: features of unlabelled rows. Every fifth labelled row is kept for calibration."""
-    if len({r[3] for r in labelled}) < 2 or len(labelled) < 20:
+    """labelled: (features of the text, features of the record, label, weight); free: features of unlabelled rows. Every fifth labelled row is
+    kept for calibration."""
+    if len({r[2] for r in labelled}) < 2 or len(labelled) < 20:
         return Model(None, [])
-    known = _Buckets()
-    rows = [(content(r[0], known), metadata(*r[:3])) for r in labelled]
-    y, w = np.array([r[3] for r in labelled], float), np.array([r[4] for r in labelled], float)
+    rows = [r[:2] for r in labelled]
+    y, w = np.array([r[2] for r in labelled], float), np.array([r[3] for r in labelled], float)
     aside = np.arange(len(rows)) % 5 == 0
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside = np.zeros(len(rows), bool)
@@ -254,9 +279,11 @@ def trained(docs: DataFrame, labels: DataFrame, each: int = EACH, pool: int | No
     With a pool, only so many unlabelled documents are used, chosen by the hash of their ids.
     """
     chosen = sample(labels.select("doc_id", "quality"), "quality", each)
-    own = docs.select("doc_id", "text", "lang", "source")
-    rows = [(r["text"], r["lang"], r["source"], r["y"], r["weight"]) for r in texts(own, chosen)]
-    if len({r[3] for r in rows}) < 2:
+    own = docs.select("doc_id", "text", "lang", "source", *(["n_chars"] if "n_chars" in docs.columns else []))
+    # features are made on the executors: at most 6 bytes for each different word of a text come to the driver, 100 kB a row
+    picked = featured(own.join(F.broadcast(chosen), "doc_id")).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "p0", "v0", "p1")
+    rows = [(_unpacked(r["p0"], r["v0"]), _unpacked(r["p1"], r["v1"]), r["y"], r["weight"]) for r in picked.collect()]
+    if len({r[2] for r in rows}) < 2:
         return Model(None, [])
     free = own.where(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti")
     if pool is not None:
@@ -269,10 +296,12 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Buckets()
-        for batch in batches:
-            out = [model.score((content(t, known), metadata(t, lang, source))) for t, lang, source in zip(*(batch[c].to_pylist() for c in ("text", "lang", "source")), strict=True)]
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, pa.float64()) for c in columns]], ["doc_id", "score", "text_score", "metadata_score"])
-
-    found = docs.select(F.col("doc_id").cast("long"), "text", "lang", "source").mapInArrow(score, "doc_id long, score double, text_score double, metadata_score double")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                out = [model.score((content(t, known), metadata(*record))) for t, *record in zip(*(batch[c].to_pylist() for c in _INPUTS), strict=True)]
+                columns = list(zip(*out, strict=True)) or [()] * 3
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, pa.float64()) for c in columns]], ["doc_id", "score", "text_score", "metadata_score"])
+
+    found = _inputs(docs).mapInArrow(score, "doc_id long, score double, text_score double, metadata_score double")
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "text_score", "metadata_score", (F.col("score") >= KEEP).alias("kept"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; fold 0 is held out and never learnt from."""
@@ -24,9 +26,19 @@ def sample(labels: DataFrame, label: str, each: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def texts(docs: DataFrame, chosen: DataFrame) -> list:
-    """The rows of docs that were chosen, by doc_id; `chosen` is a bounded sample, so it is broadcast and the result fits the driver."""
-    return docs.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").collect()
+#: Bytes of whole texts that may come to the driver to fit on; beyond, fewer rows are taken in the sample's order, and none in part.
+BYTES = 64 << 20
+
+
+def texts(docs: DataFrame, chosen: DataFrame, most: int = BYTES) -> list:
+    """The rows of docs that were chosen, by doc_id; `chosen` is a bounded sample, so it is broadcast. Texts of `most` bytes at most come to the driver."""
+    found = docs.join(F.broadcast(chosen), "doc_id").withColumn("__b", F.coalesce(F.octet_length("text"), F.lit(0)))
+    some = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = stored(found, "sample")
+    total = sizes.agg(F.sum("__b")).first()[0] or 0
+    if total > most:  # a window over the sample's rows, which are bounded
+        sizes = sizes.withColumn("__s", F.sum("__b").over(some)).where(F.col("__s") <= most).drop("__s")
+    return sizes.drop("__b").orderBy("doc_id", "text").collect()
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
