@@ -34,6 +34,22 @@ _CHUNK = re.compile(f"[{SPACE}\n]+[^{SPACE}\n]*")
 _BEST = 4
 
 
+#: Where the curve of chances by rank bends; from 30 to 1000 it hardly matters.
+SHIFT = 100.0
+
+
+def _chances(scores: dict[int, float]) -> dict[int, float]:
+    """The pieces' log-probabilities. A unigram model's scores are these. A merge model's are places in the order of merges (0, -1, -2, ...), which
+    don't add up to anything; there the chance of the piece of rank r is taken as 1 / (r + SHIFT) over the sum of all, as words are
+    distributed by rank (Zipf and Mandelbrot). Scores that forbid a piece stay.
+    """
+    used = sorted((s for s in scores.values() if s > -1e8), reverse=True)
+    if any(s != -k for k, s in enumerate(used)):
+        return scores
+    whole = np.log(sum(1 / (k + SHIFT) for k in range(len(used))))
+    return {i: float(-np.log(SHIFT - s) - whole) if s > -1e8 else s for i, s in scores.items()}
+
+
 class Segmenter:
     def __init__(self, path: str, limit: int = 800_000):
         import sentencepiece
@@ -42,10 +58,14 @@ class Segmenter:
         every = range(model.get_piece_size())
         self.names = [model.id_to_piece(i) for i in every]
         self.bytes = {int(self.names[i][3:5], 16): i for i in every if model.is_byte(i)}
+        self.model = model
         self.kinds = [0 if model.is_byte(i) else 2 if model.is_control(i) or model.is_unknown(i) else 1 for i in every]
-        self.pieces = {self.names[i]: (i, model.get_score(i)) for i in every if self.kinds[i] == 1}
+        own = {i: model.get_score(i) for i in every if self.kinds[i] == 1}
+        self.pieces = {self.names[i]: (i, score) for i, score in _chances(own).items()}
         self.begins = {p[:k] for p in self.pieces for k in range(1, len(p))}
         self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        #: whether no piece goes on over the beginning of a chunk; else a text is one chunk
+        self.cut = not any(pair[1] in (SPACE, "\n") and pair[0] not in (SPACE, "\n") for pair in self.inside)
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - PENALTY
         self.limit, self.units, self.chunks, self.options = limit, {}, {}, {}
         #: beginning of a piece -> score (None: no piece itself), packed id, and whether a longer piece begins with it
@@ -162,18 +182,24 @@ class Segmenter:
         out.append(text[start:])
         return out
 
-    def chunk(self, text: str) -> tuple[bytes, float, float]:
-        """Of a chunk (white space and what follows): packed ids, score, and what the second best costs more."""
+    def chunk(self, text: str) -> tuple[bytes, float, float, int, bool]:
+        """Of a chunk (white space and what follows): packed ids, score, what the second best costs more, how many pieces the library makes of
+        it, and whether they are the same."""
         found = self.chunks.get(text)
         if found is None:
             if len(self.chunks) + len(self.units) > self.limit:
                 self.chunks.clear(), self.units.clear(), self.options.clear()
             own = [self.solved(u) for u in self.split(text)]
-            found = self.chunks[text] = own[0] if len(own) == 1 else (b"".join([x[0] for x in own]), sum([x[1] for x in own]), min([x[2] for x in own]))
+            packed = own[0][0] if len(own) == 1 else b"".join([x[0] for x in own])
+            # the library puts a space before what it encodes: the chunk's own first one, or one of its own, whose piece then goes
+            inner = [self.pieces[SPACE][0]] if text == SPACE else self.model.encode(text.removeprefix(SPACE).replace(SPACE, " "))
+            plain = np.array(inner if text[0] == SPACE else inner[1:], "<u4").tobytes()
+            found = self.chunks[text] = packed, sum([x[1] for x in own]), min([x[2] for x in own]), len(plain) // 4, plain == packed
         return found
 
-    def _chunks(self, text: str) -> tuple[list[str], list[tuple[bytes, float, float]]]:
-        names = _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+    def _chunks(self, text: str) -> tuple[list[str], list[tuple]]:
+        whole = SPACE + text.replace(" ", SPACE)
+        names = _CHUNK.findall(whole) if self.cut else [whole]
         get, chunk = self.chunks.get, self.chunk
         return names, [get(c) or chunk(c) for c in names]
 
@@ -222,6 +248,14 @@ class Segmenter:
             out.append((total - cost, b"".join(chain.from_iterable(zip(whole, (*choice, b""), strict=True)))))
         return out
 
+    def library(self, text: str | None) -> tuple[int, bool]:
+        """How many pieces the library makes of a text, and whether they are those of the best segmentation: chunk by chunk, as no piece
+        crosses from one to the next."""
+        if not text:
+            return 0, True
+        own = self._chunks(text)[1]
+        return sum([x[3] for x in own]), all([x[4] for x in own])
+
     def nbest(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         return [(s, np.frombuffer(x, "<u4").tolist()) for s, x in self.packed(text, n)]
 
@@ -282,18 +316,21 @@ def nbest(docs: DataFrame, model: str, n: int = _BEST) -> DataFrame:
 
 
 def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) -> DataFrame:
-    """Of each text: n_pieces, ids_crc32 (little-endian 32-bit ids), best_score, n_best and last_score (of n at most), and round_trip."""
+    """Of each text: n_pieces, ids_crc32 (little-endian 32-bit ids), best_score, n_best and last_score (of n at most), round_trip, n_library
+    (pieces of the library's own encoding) and as_library (whether the best segmentation is that one)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segmenter(model, limit)
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.bool_())
         for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):  # texts become Python objects a few at a time
-                batch, out = whole.slice(at, 1_000), []
+            for at in range(0, whole.num_rows, 200):  # texts become Python objects a few at a time
+                batch, out = whole.slice(at, 200), []
                 for text in batch["text"].to_pylist():
                     some = known.packed(text, n)
                     score, packed = some[0]
-                    out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or "")))
-                columns = list(zip(*out, strict=True)) or [()] * 6
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_()), strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip"])
+                    pieces, same = known.library(text)
+                    out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or ""), pieces, same))
+                columns = list(zip(*out, strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip", "n_library", "as_library"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best int, last_score double, round_trip boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best int, last_score double, round_trip boolean, n_library long, as_library boolean")

@@ -11,6 +11,8 @@ with its tokens. An empty table gives an empty table. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -95,7 +97,7 @@ class Block:
 
 
 class WordIds(dict):
-    """Packed ids of each chunk of text between white space; the tokenizer's tokens never span any.
+    """Packed ids of each chunk of text between white space; the tokenizer's tokens never span any (`by_words` tells from its definition).
 
     Only chunks not met before go through the tokenizer. Those of letters and closing marks share the ids of their lower-cased
     letters; such runs of letters go through together, and their ids are told apart by the mark that ends a word.
@@ -149,17 +151,53 @@ class WordIds(dict):
             self[word] = self.parts[low] + self.parts[m]
         self.update(zip([w for w, _ in other], self._encode([t for _, t in other]), strict=True))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [x.split() for x in texts]
+        self.learn(split)
+        return [np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4") for words in split]
 
 
-_KNOWN: dict[str, WordIds] = {}
+class TextIds:
+    """The ids of whole texts, straight from the tokenizer: for any definition."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for i in range(0, len(texts), 64):
+            some = [x.decode("utf-8", "replace") for x in texts[i : i + 64]]
+            out += [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        return out
+
+
+#: What a definition must say for its words to be looked up alone: white space separates, case doesn't matter, words end with a suffix.
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    "</w>",
+)
+
+
+def by_words(path: str) -> bool:
+    """Whether the tokenizer's own definition says what WordIds takes for granted; added tokens must hold no white space and be spelt with marks."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    steps = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    added = all(re.fullmatch(r"[^\s\w]\S*[^\s\w]", t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in own.get("added_tokens") or [])
+    return added and (own.get("normalizer"), steps[0], own["model"].get("end_of_word_suffix")) == WORDS
 
 
-def known_ids(path: str) -> WordIds:
-    """The process's own WordIds: a Python worker keeps it from task to task."""
+_KNOWN: dict[str, WordIds | TextIds] = {}
+
+
+def known_ids(path: str) -> WordIds | TextIds:
+    """The process's own ids: a Python worker keeps them from task to task."""
     if path not in _KNOWN:
-        _KNOWN[path] = WordIds(path)
+        _KNOWN[path] = WordIds(path) if by_words(path) else TextIds(path)
     return _KNOWN[path]
 
 
@@ -189,11 +227,9 @@ def blocks(docs: DataFrame, tokenizer: str, end: int = END, size: int = BLOCK) -
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                texts = [x.split() for x in text_bytes(some["text"])]
-                known.learn(texts)
-                for doc_id, words in zip(some["doc_id"].to_pylist(), texts, strict=True):
+                for doc_id, own in zip(some["doc_id"].to_pylist(), known.encode(text_bytes(some["text"])), strict=True):
                     doc_ids.append(doc_id)
-                    kept.append(np.append(known.ids(words), np.uint32(end)))
+                    kept.append(np.append(own, np.uint32(end)))
                     total += len(kept[-1])
                     if total >= size:
                         yield block()
@@ -237,6 +273,27 @@ def documents(table: DataFrame) -> DataFrame:
     return table.mapInArrow(read, "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")
 
 
+def tokens_at(table: DataFrame, positions: list[int]) -> DataFrame:
+    """position and token of places among the ids of all documents. Only the blocks that hold one are read, and of these only the chunks,
+    bitmaps and directories of the levels that a token has; no block is decoded. Places outside give no row. A stated, short list."""
+    spark = table.sparkSession
+    asked = spark.createDataFrame([(int(p),) for p in positions], "position long").distinct()
+    # where each block starts comes from n_tokens alone, a column of its own in the file; the join keeps the blocks that are asked for
+    spots = table.select("part", "seq", "n_tokens").join(offsets(table), ["part", "seq"])
+    where = spots.join(F.broadcast(asked), (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("n_tokens")))
+    wanted = where.groupBy("part", "seq").agg(F.collect_list(F.struct("position", (F.col("position") - F.col("before")).alias("at"))).alias("asked"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block = Block(*(batch[c][k].as_py() for c in ("chunks", "bitmaps", "ranks")))
+                for one in batch["asked"][k].as_py():
+                    yield pa.RecordBatch.from_arrays([pa.array([one["position"]]), pa.array([block.token(one["at"])], pa.int64())], ["position", "token"])
+
+    found = table.select("part", "seq", "chunks", "bitmaps", "ranks").join(F.broadcast(wanted), ["part", "seq"])
+    return found.select("chunks", "bitmaps", "ranks", "asked").mapInArrow(read, "position long, token long")
+
+
 def digest(table: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document."""
     return documents(table).join(offsets(table), ["part", "seq"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,10 +1,19 @@
 """What the first review found missing."""
 
+import zlib
+
 import corpus_pipeline
 import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import tokenizers
 from pyspark.sql import functions as F
 
-from jobstrata.llm import cotrain, jaccard, queries, rules
+from jobstrata.llm import cotrain, jaccard, pieces, queries, rules, tokenbin
+
+from .helpers import documents
 
 
 def test_marks_between_words_are_rejected_under_v2(spark):
@@ -58,3 +67,30 @@ def test_rows_with_one_id_are_one_document(spark):
     assert got == {1: (56, 1), 2: (57, 1), 3: (1, 3), 4: (0, 4)}
     kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in jaccard.representatives(docs).collect())
     assert kept == [(0, text), (0, text), (1, text), (3, "x y"), (4, "")]
+
+
+def test_what_the_library_makes_of_a_text(spark, sf):
+    """Counts of the library's own encoding, and whether the best segmentation is it, for whole texts."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows, df = documents(spark, sf, ["a  b", "\n\n x", "  lead", "tab\tx", "a\n b", "trail  ", "the cat", "of the"])
+    got = {r["doc_id"]: (r["n_library"], r["as_library"]) for r in pieces.digest(df, path).collect()}
+    own = pieces.Segmenter(path)
+    assert got == {d: (len(ids := library.encode(t or "")), ids == own.nbest(t, 1)[0][1]) for d, t in rows}
+    assert any(same for _, same in got.values())
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_any_tokenizer(spark, sf, file):
+    """Ids are the library's for each definition, and any token is found from its place among all."""
+    path = public_tokenizers.path(file)
+    library = tokenizers.Tokenizer.from_file(path)
+    assert tokenbin.by_words(path) == file.startswith("word")
+    rows, df = documents(spark, sf, ["Hello World, hello", "It's 12:30 — don't!", "<|endoftext|> x<|endoftext|>", "ΣΑΣ ﬁ Straße İ"])
+    ids = [(d, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for d, t in sorted(rows, key=lambda r: r[0])]
+    table = tokenbin.written(df, path)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenbin.digest(table).collect()}
+    assert got == {d: (len(own), zlib.crc32(np.array(own, "<u4").tobytes())) for d, own in ids}
+    every = [i for _, own in ids for i in own]
+    places = [0, 1, 2, 5, len(every) // 3, len(every) - 1, len(every), len(every) + 10**6]
+    assert {(r["position"], r["token"]) for r in tokenbin.tokens_at(table, places).collect()} == {(p, every[p]) for p in places if p < len(every)}
