@@ -7,7 +7,8 @@ both classes, join the other view's rows with the label it gave them. At the end
 was not fitted on (a logistic curve over its score), and a document's score is the mean of the two calibrated log-odds, a view
 that says nothing about it counting less.
 
-Only labelled rows are sampled (`EACH` at most of either label). In each round all unlabelled rows are scored on the executors from
+Only labelled rows are sampled (`EACH` at most of either label); all rows outside the sample count as unlabelled, whatever the table of
+labels says of them. In each round all unlabelled rows are scored on the executors from
 features written once, and every one of which a view is surer than `SURE` teaches the other: the driver adds the gradients of its
 labelled rows and the sums of those of all rows that were given labels, `STEPS` times a round. The given labels of a class weigh
 half of what its labelled rows do, however many they are. Scoring covers every row. Null and empty texts have no words: the
@@ -285,7 +286,8 @@ def trained(docs: DataFrame, labels: DataFrame, each: int = EACH, pool: int | No
     rows = [(_unpacked(r["p0"], r["v0"]), _unpacked(r["p1"], r["v1"]), r["y"], r["weight"]) for r in picked.collect()]
     if len({r[2] for r in rows}) < 2:
         return Model(None, [])
-    free = own.where(F.col("doc_id").isNotNull()).join(labels.select("doc_id"), "doc_id", "left_anti")
+    # rows are unlabelled if they aren't in the sample, whose bound lets it be broadcast: texts stay where they are
+    free = own.where(F.col("doc_id").isNotNull()).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     if pool is not None:
         free = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     return fit(rows, stored(featured(free), "features"))
