@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracles())))
 def test_query_runs(spark, sf, name):
-    assert catalogue.queries()[name](spark, sf).columns
+    assert len(catalogue.queries()[name](spark, sf).collect()) >= 0
 
 
 def test_stream_equals_batch(spark, sf):
