@@ -19,7 +19,9 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import chain, count, pairwise
+from operator import add
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -68,14 +70,24 @@ class Segmenter:
         self.cut = not any(pair[1] in (SPACE, "\n") and pair[0] not in (SPACE, "\n") for pair in self.inside)
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - PENALTY
         self.limit, self.units, self.chunks, self.options = limit, {}, {}, {}
-        #: beginning of a piece -> score (None: no piece itself), packed id, and whether a longer piece begins with it
-        self.trie = {b: (None, b"", True) for b in self.begins}
+        #: character -> score (None: the characters so far are no piece), packed id and the characters that may follow, to any depth
+        self.trie: dict = {}
         for p, (i, score) in self.pieces.items():
-            self.trie[p] = (score, i.to_bytes(4, "little"), p in self.begins)
+            at = self.trie
+            for c in p[:-1]:
+                at = at.setdefault(c, [None, b"", {}])[2]
+            at.setdefault(p[-1], [None, b"", {}])[:2] = score, i.to_bytes(4, "little")
+        for c, step in self.trie.items():
+            if step[0] is None:
+                step[:2] = self.unknown, self._spelled(c)
         self.text = [bytes([int(self.names[i][3:5], 16)]) if self.kinds[i] == 0 else self.names[i].replace(SPACE, " ").encode() if self.kinds[i] == 1 else b"" for i in every]
 
     # --- a unit ---
 
+    def _spelled(self, character: str) -> bytes:
+        """Packed ids of the bytes of a character that no piece covers."""
+        return b"".join([self.bytes[c].to_bytes(4, "little") for c in character.encode("utf-8", "surrogatepass")])
+
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place the edges that end there: where they start, their score and ids."""
         n = len(unit)
@@ -137,35 +149,34 @@ class Segmenter:
         found = self.units.get(unit)
         if found is not None:
             return found
-        n, get, low = len(unit), self.trie.get, -np.inf
-        first, second, back = [low] * (n + 1), [low] * (n + 1), [(0, b"")] * (n + 1)
+        n, trie, low = len(unit), self.trie, float("-inf")
+        first, second, back, last = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1), [b""] * (n + 1)
         first[0] = 0.0
-        for i in range(n):
-            a, b, j, more = first[i], second[i], i + 1, True
-            while more and j <= n:
-                step = get(unit[i:j])
-                if step is None:
-                    if j > i + 1:
-                        break
-                    step = None, b"", False
-                score, own, more = step
-                if score is None and j == i + 1:
-                    score, own = self.unknown, b"".join(self.bytes[c].to_bytes(4, "little") for c in unit[i].encode("utf-8", "surrogatepass"))
+        for i, c in enumerate(unit):
+            a, b, j = first[i], second[i], i + 1
+            score, own, more = trie.get(c) or (self.unknown, self._spelled(c), None)
+            while True:
                 if score is not None:
                     x, y = a + score, b + score
                     if x > first[j]:
                         if first[j] > y:
                             y = first[j]
-                        first[j], back[j] = x, (i, own)
+                        first[j], back[j], last[j] = x, i, own
                     else:
                         y = x
                     if y > second[j]:
                         second[j] = y
+                if not more or j == n:
+                    break
+                step = more.get(unit[j])
+                if step is None:
+                    break
+                score, own, more = step
                 j += 1
         at, parts = n, []
         while at:
-            at, own = back[at]
-            parts.append(own)
+            parts.append(last[at])
+            at = back[at]
         parts.reverse()
         found = self.units[unit] = (b"".join(parts), first[n], first[n] - second[n])
         return found
@@ -174,34 +185,34 @@ class Segmenter:
 
     def split(self, text: str) -> list[str]:
         """The units of a run of characters."""
-        out, start, inside = [], 0, self.inside
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in inside:
-                out.append(text[start:k])
-                start = k
-        out.append(text[start:])
-        return out
-
-    def chunk(self, text: str) -> tuple[bytes, float, float, int, bool]:
-        """Of a chunk (white space and what follows): packed ids, score, what the second best costs more, how many pieces the library makes of
-        it, and whether they are the same."""
-        found = self.chunks.get(text)
-        if found is None:
-            if len(self.chunks) + len(self.units) > self.limit:
-                self.chunks.clear(), self.units.clear(), self.options.clear()
-            own = [self.solved(u) for u in self.split(text)]
+        joined = list(map(self.inside.__contains__, map(add, text, text[1:])))
+        if all(joined):
+            return [text]
+        cuts = [0, *(k for k, whole in enumerate(joined, 1) if not whole), len(text)]
+        return [text[a:b] for a, b in pairwise(cuts)]
+
+    def _solve(self, chunks: list[str]) -> None:
+        """Of each chunk (white space and what follows): packed ids, score, what the second best costs more, how many pieces the library makes
+        of it, and whether they are the same."""
+        known = self.chunks
+        # the library puts a space before what it encodes: the chunk's own first one, or one of its own, whose piece then goes
+        plain = self.model.encode([c.removeprefix(SPACE).replace(SPACE, " ") for c in chunks], num_threads=1)
+        for c, ids in zip(chunks, plain, strict=True):
+            own = [self.solved(u) for u in self.split(c)]
             packed = own[0][0] if len(own) == 1 else b"".join([x[0] for x in own])
-            # the library puts a space before what it encodes: the chunk's own first one, or one of its own, whose piece then goes
-            inner = [self.pieces[SPACE][0]] if text == SPACE else self.model.encode(text.removeprefix(SPACE).replace(SPACE, " "))
-            plain = np.array(inner if text[0] == SPACE else inner[1:], "<u4").tobytes()
-            found = self.chunks[text] = packed, sum([x[1] for x in own]), min([x[2] for x in own]), len(plain) // 4, plain == packed
-        return found
+            ids = [self.pieces[SPACE][0]] if c == SPACE else ids if c[0] == SPACE else ids[1:]
+            same = 4 * len(ids) == len(packed) and pack(f"<{len(ids)}I", *ids) == packed
+            known[c] = packed, sum([x[1] for x in own]), min([x[2] for x in own]), len(ids), same
 
     def _chunks(self, text: str) -> tuple[list[str], list[tuple]]:
         whole = SPACE + text.replace(" ", SPACE)
         names = _CHUNK.findall(whole) if self.cut else [whole]
-        get, chunk = self.chunks.get, self.chunk
-        return names, [get(c) or chunk(c) for c in names]
+        if len(self.chunks) + len(self.units) > self.limit:
+            self.chunks.clear(), self.units.clear(), self.options.clear()
+        new = set(names).difference(self.chunks)
+        if new:
+            self._solve(list(new))
+        return names, list(map(self.chunks.__getitem__, names))
 
     @staticmethod
     def _merged(options: list[list], n: int) -> list[tuple[float, tuple]]:
@@ -234,9 +245,9 @@ class Segmenter:
 
         Only the n - 1 chunks whose second best costs least can differ from their best.
         """
-        if not text:
-            return [(0.0, b"")]
-        names, own = self._chunks(text)
+        return self._best_of(*self._chunks(text), n) if text else [(0.0, b"")]
+
+    def _best_of(self, names: list[str], own: list[tuple], n: int) -> list[tuple[float, bytes]]:
         costs = np.array([x[2] for x in own])
         some = np.argsort(costs, kind="stable")[: n - 1] if len(costs) <= 64 else (low := np.argpartition(costs, n - 1)[: n - 1])[np.argsort(costs[low], kind="stable")]
         some = sorted(int(i) for i in some if costs[i] < np.inf)
@@ -248,13 +259,13 @@ class Segmenter:
             out.append((total - cost, b"".join(chain.from_iterable(zip(whole, (*choice, b""), strict=True)))))
         return out
 
-    def library(self, text: str | None) -> tuple[int, bool]:
-        """How many pieces the library makes of a text, and whether they are those of the best segmentation: chunk by chunk, as no piece
-        crosses from one to the next."""
+    def against_library(self, text: str | None, n: int) -> tuple[list[tuple[float, bytes]], int, bool]:
+        """As `packed`, then how many pieces the library makes of the text, and whether they are those of the best segmentation: chunk by
+        chunk, as no piece crosses from one to the next."""
         if not text:
-            return 0, True
-        own = self._chunks(text)[1]
-        return sum([x[3] for x in own]), all([x[4] for x in own])
+            return [(0.0, b"")], 0, True
+        names, own = self._chunks(text)
+        return self._best_of(names, own, n), sum([x[3] for x in own]), all([x[4] for x in own])
 
     def nbest(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         return [(s, np.frombuffer(x, "<u4").tolist()) for s, x in self.packed(text, n)]
@@ -326,9 +337,8 @@ def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) ->
             for at in range(0, whole.num_rows, 200):  # texts become Python objects a few at a time
                 batch, out = whole.slice(at, 200), []
                 for text in batch["text"].to_pylist():
-                    some = known.packed(text, n)
+                    some, pieces, same = known.against_library(text, n)
                     score, packed = some[0]
-                    pieces, same = known.library(text)
                     out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or ""), pieces, same))
                 columns = list(zip(*out, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip", "n_library", "as_library"])
