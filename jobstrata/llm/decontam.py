@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from .common import stored, where_known
 
 WIDTH = 10
-#: Windows of the benchmark that may be broadcast (some 60 bytes each); more are joined by a shuffle.
+#: Windows of the benchmark whose hashes may be broadcast (some 100 bytes each in the hash table); more are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Up to so many bytes their words and items are broadcast with them; beyond, only the rows that hit are joined with these.
+BROADCAST_BYTES = 64 << 20
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,10 +55,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int =
     """doc_id and hits, a list of (at: 0-based word, width, gram, items): hits by hash, not yet verified.
 
     Windows are streamed from the scan of docs into a hash join; only hits are shuffled. The benchmark's windows are
-    broadcast if they are `limit` at most, and joined by a shuffle otherwise.
+    broadcast if they are `limit` at most: with words and items if these are small, else by hash alone. Otherwise they are joined by a shuffle.
     """
     grams = stored(benchmark_windows(benchmark, width), "windows")
-    size, lengths = grams.agg(F.count(F.lit(1)), F.collect_set("width")).first()
+    mass = F.octet_length(F.array_join("gram", " ")) + F.octet_length(F.array_join("items", ",")) + 16 * (F.size("gram") + F.size("items")) + 100
+    size, lengths, total = grams.agg(F.count(F.lit(1)), F.collect_set("width"), F.coalesce(F.sum(mass), F.lit(0))).first()
     base = docs.select("doc_id", normal_words(F.col("text")).alias("w"))
     w = F.col("w")
     parts = []
@@ -64,8 +67,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int =
         starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))
         parts.append(F.transform(starts, _window_at(w, k)))
     exploded = base.select("doc_id", F.inline(F.concat(*parts)))
-    table = F.broadcast(grams) if size <= limit else grams
-    hits = exploded.join(table, ["h", "width"])
+    if size <= limit and total <= BROADCAST_BYTES:
+        hits = exploded.join(F.broadcast(grams), ["h", "width"])
+    else:
+        keys = grams.select("h", "width").distinct()
+        hits = exploded.join(F.broadcast(keys) if size <= limit else keys, ["h", "width"]).join(grams, ["h", "width"])
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "width", "gram", "items")).alias("hits"))
 
 
