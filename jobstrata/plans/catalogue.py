@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import board, captured, ordered, postings, relational, texts  # noqa: F401
+    from . import board, captured, ordered, postings, relational, texts, walks  # noqa: F401
 
     return dict(_QUERIES)
 
