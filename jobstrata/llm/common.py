@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import new_path, stored, where_known  # noqa: F401
+from ..operators.tables import new_path, numbered, stored, where_known  # noqa: F401
 
 #: ASCII white space; Python's bytes.split() splits at just these.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -103,26 +101,3 @@ def utf8(value: pa.Scalar | str | None) -> bytes:
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as bytes; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def numbered(df: DataFrame, group: list[str], order: list[str], name: str, about: DataFrame | None = None) -> DataFrame:
-    """df, written in the shared folder, with position (from 0, of each row in its group by order, nulls first), n_group, and the columns of
-    about, which has one row for each group.
-
-    Rows are dealt out by range of group and order, so a hot group is many tasks' work; what is summed over whole groups is
-    one row for each group and task. Rows that are the same in group and order stand in any order among themselves.
-    """
-    keys = [*group, *order]
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__n", F.monotonically_increasing_id())
-    rows = stored(placed, name).withColumn("__part", F.shiftright("__n", 33))
-    own = rows.groupBy(*group, "__part").agg(F.min("__n").alias("__least"), F.count(F.lit(1)).alias("__count"))
-    every = Window.partitionBy(*group)
-    before = F.coalesce(F.sum("__count").over(every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = own.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__part").alias("__p"), (before - F.col("__least")).alias("__shift"), F.sum("__count").over(every).alias("n_group"))
-    alike = lambda a, b: reduce(and_, [F.col(a.format(i, g)).eqNullSafe(F.col(b.format(i, g))) for i, g in enumerate(group)])
-    more = []
-    if about is not None:  # joined to the starts, not to the rows: a hot group has one start for each task
-        more = [c for c in about.columns if c not in group]
-        starts = starts.join(about.select(*more, *[F.col(g).alias(f"__a{i}") for i, g in enumerate(group)]), alike("__g{0}", "__a{0}"))
-    found = rows.join(starts, (F.col("__part") == F.col("__p")) & alike("{1}", "__g{0}"))
-    return found.select(*df.columns, (F.col("__n") + F.col("__shift")).alias("position"), "n_group", *more)
