@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import runs
 from ..functions.names import GENERIC, LONE_NAME
+from . import publish
 from .identity import components
 from .tables import stored
 
@@ -66,52 +68,94 @@ def length_bound(a: Column, b: Column, least: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
 
 
-def _ratios(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+#: Texts of one bucket of lengths that meet in one task at most: buckets of more are split.
+CROWD = 256
+
+
+def likely_pairs(cards: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """Pairs a < b of ids of one key whose texts' lengths and letters allow a ratio of `least`; no text is in the join.
+
+    Texts meet by key and bucket of lengths: of two that may match the shorter has least / (2 - least) of the longer's length, so the
+    longer one looks in its own bucket and the one below. A crowded bucket is split: each shorter text is in one part of it, each
+    longer one in all. Pairs are those of different cards that meet; what they carry is a histogram.
+    """
+    step = math.log((2 - least) / least)
+    n = F.length(text)
+    sized = stored(cards.where(n > 0).select("id", key, n.alias("n"), runs.histogram(F.col(text)).alias("h"), F.floor(F.log(n) / step).alias("z")), "sized")
+    crowd = sized.groupBy(key, "z").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("parts"))
+    short = sized.join(crowd, [key, "z"]).select(key, "z", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.struct("n", "id").alias("l"), F.col("h").alias("lh"))
+    long = sized.select(key, "id", "n", "h", F.explode(F.array("z", F.col("z") - 1)).alias("z")).join(crowd, [key, "z"])
+    long = long.select(key, "z", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.struct("n", "id").alias("r"), F.col("h").alias("rh"))
+    met = short.join(long, [key, "z", "part"]).where((F.col("l") < F.col("r")) & (2 * F.col("l.n") >= least * (F.col("l.n") + F.col("r.n"))))
+    met = met.where(runs.within_bound(F.col("lh"), F.col("rh"), least))
+    return met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+
+
+def _scores(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Each pair's bound, and its ratio where the bound allows `least`."""
     for batch in batches:
-        out = []
-        for x, y in zip(batch["ta"], batch["tb"], strict=True):
-            m = SequenceMatcher(None, x, y, autojunk=False)
-            out.append(m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
-        yield batch[["a", "b"]].assign(ratio=out)
+        bounds = [runs.letters_bound(x, y) for x, y in zip(batch["tx"], batch["ty"], strict=True)]
+        ratios = [runs.ratio(x, y) if bound >= least else None for x, y, bound in zip(batch["tx"], batch["ty"], bounds, strict=True)]
+        yield pd.DataFrame({"x": batch["x"], "y": batch["y"], "bound": bounds, "ratio": pd.array(ratios, dtype="Float64")})
 
 
-def near(cards: DataFrame, block: list[str], text: str, least: float = 0.93) -> DataFrame:
-    """a, b and ratio of cards in a block whose texts' ratio of matching characters is `least` or more; lengths are compared first."""
-    pairs = blocked_pairs(cards, block, length_bound(F.col(f"l.{text}"), F.col(f"r.{text}"), least))
-    given = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col(f"l.{text}").alias("ta"), F.col(f"r.{text}").alias("tb"))
-    return given.mapInPandas(lambda it: _ratios(it, least), "a long, b long, ratio double").where(F.col("ratio") >= least)
+SCORES = "x string, y string, bound double, ratio double"
 
 
-def _matches(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Pairs whose ratio is `least` or more in an order in which two of their cards stand: the ratio isn't symmetric."""
+def scored(pairs: DataFrame, texts: DataFrame, least: float, store: str | None = None) -> DataFrame:
+    """SIM-01, SIM-02: x, y, bound and ratio of ordered pairs (x, y) of digests; texts has digest and text.
 
-    def close(x: str, y: str) -> bool:
-        m = SequenceMatcher(None, x, y, autojunk=False)
-        return m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least
+    store: a folder of scores that earlier runs left, read by an equi-join before any pair is scored. What it lacks is scored; then the
+    scores that this run used become its current version, so pairs that are gone fall out. A score is exact, whatever `least` is;
+    a pair whose letters don't allow `least` has a bound and no ratio, and is scored later if a smaller one asks.
+    """
+    spark = pairs.sparkSession
+    asked = stored(pairs.select("x", "y").distinct(), "asked")
+    known = spark.createDataFrame([], SCORES)
+    if store is not None and publish.current_name(spark, store) is not None:
+        known = publish.current(spark, store).join(asked, ["x", "y"], "left_semi").where(F.col("ratio").isNotNull() | (F.col("bound") < least)).select("x", "y", "bound", "ratio")
+    missing = asked.join(known.select("x", "y"), ["x", "y"], "left_anti")
+    own = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    given = missing.join(own.select(F.col("digest").alias("x"), F.col("text").alias("tx")), "x").join(own.select(F.col("digest").alias("y"), F.col("text").alias("ty")), "y")
+    every = stored(known.unionByName(given.mapInPandas(lambda it: _scores(it, least), SCORES)), "scores")
+    if store is not None:
+        publish.publish(every, store)
+    return every
 
-    for batch in batches:
-        rows = zip(batch["b"], batch["last"], batch["ta"], batch["tb"], strict=True)
-        yield batch.loc[[close(x, y) or (b < last and close(y, x)) for b, last, x, y in rows], ["a", "b"]]
+
+def near(cards: DataFrame, block: list[str], text: str, least: float = 0.93) -> DataFrame:
+    """a, b and ratio of cards in a block whose texts' ratio of matching runs is `least` or more; lengths and letters are compared first."""
+    own = stored(cards.select("id", F.sha2(F.to_json(F.struct(*block)), 256).alias("key"), F.col(text).alias("t"), F.sha2(text, 256).alias("digest")), "cards")
+    digests = own.select("id", "digest")
+    pairs = likely_pairs(own, "key", "t", least).join(digests.withColumnsRenamed({"id": "a", "digest": "x"}), "a").join(digests.withColumnsRenamed({"id": "b", "digest": "y"}), "b")
+    pairs = stored(pairs, "pairs")
+    told = scored(pairs, own.select("digest", F.col("t").alias("text")), least)
+    return pairs.join(told, ["x", "y"]).where(F.col("ratio") >= least).select("a", "b", "ratio")
 
 
-def near_classes(cards: DataFrame, block: list[str], text: str, least: float = 0.93, shortest: int = 400) -> DataFrame:
+def near_classes(cards: DataFrame, block: list[str], text: str, least: float = 0.93, shortest: int = 400, store: str | None = None) -> DataFrame:
     """id, component (smallest id of its class), members and kept (whether it is that id) of every card.
 
-    Classes are transitive: cards of a block whose texts have `shortest` characters at least and match as in near. Equal texts of a
-    block are one text before pairs are made, so pairs are quadratic in the different texts of a block only. Shorter cards and
-    those without a text are classes of their own; a null in the block equals a null.
+    Classes are transitive: cards of a block whose texts have `shortest` characters at least and match as in near, in an order in which
+    two of their cards stand (the ratio isn't symmetric). Equal texts of a block are one text before pairs are made, so pairs are
+    quadratic only in the different texts of a block that lengths and letters don't tell apart. Shorter cards and those without a
+    text are classes of their own; a null in the block equals a null. store: see `scored`.
     """
     key = F.sha2(F.to_json(F.struct(*block)), 256)
-    same = Window.partitionBy("key", "digest")
-    keyed = cards.where(F.length(text) >= shortest).select("id", key.alias("key"), F.sha2(text, 256).alias("digest"))
-    own = stored(keyed.select("id", "key", F.min("id").over(same).alias("first"), F.max("id").over(same).alias("last")), "keyed")
-    firsts = own.where("id = first").distinct()
+    keyed = stored(cards.where(F.length(text) >= shortest).select("id", key.alias("key"), F.sha2(text, 256).alias("digest")), "keyed")
+    firsts = stored(keyed.groupBy("key", "digest").agg(F.min("id").alias("first"), F.max("id").alias("last")), "firsts")
     several = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    read = stored(cards.select("id", F.col(text).alias("t")).join(firsts.join(several, "key", "left_semi"), "id").select("id", "key", "last", "t"), "texts")
-    pairs = blocked_pairs(read, ["key"], length_bound(F.col("l.t"), F.col("r.t"), least))
-    given = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.last").alias("last"), F.col("l.t").alias("ta"), F.col("r.t").alias("tb"))
-    whole = components(given.mapInPandas(lambda it: _matches(it, least), "a long, b long")).withColumnRenamed("node", "first")
-    known = own.select("id", "first").distinct().join(whole, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    read = firsts.join(several, "key", "left_semi").select(F.col("first").alias("id"), "key", "digest", "last")
+    texts = stored(cards.select("id", F.col(text).alias("t")).join(read, "id").select("id", "key", "digest", "last", "t"), "texts")
+    likely = likely_pairs(texts, "key", "t", least)
+    told = texts.select("id", "digest", "last")
+    likely = likely.join(told.select(F.col("id").alias("a"), F.col("digest").alias("x")), "a").join(told.select(F.col("id").alias("b"), F.col("digest").alias("y")), "b")
+    likely = likely.join(told.select(F.col("id").alias("a"), F.col("last").alias("until")), "a")
+    # b's text stands left of a's where a copy of a's text comes after b
+    both = stored(likely.select("a", "b", "x", "y").unionByName(likely.where("b < until").select("a", "b", F.col("y").alias("x"), F.col("x").alias("y"))), "pairs")
+    links = both.join(scored(both, texts.select("digest", F.col("t").alias("text")), least, store), ["x", "y"]).where(F.col("ratio") >= least).select("a", "b").distinct()
+    whole = components(links).withColumnRenamed("node", "first")
+    known = keyed.select("id", "key", "digest").join(firsts, ["key", "digest"]).join(whole, "first", "left").select("id", F.coalesce("component", "first").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     found = cards.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     return found.select("id", "component", F.count(F.lit(1)).over(Window.partitionBy("component")).alias("members"), (F.col("id") == F.col("component")).alias("kept"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
+from ..functions import runs
 from ..functions import text as tx
 from ..operators import cascade, dedup
 from ..operators import posting_rules as pr
@@ -225,6 +226,12 @@ def txt_nearest(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", nm.nearest(v, _ALLOWED).alias("label"), ((v != "") & ~v.isin(*_ALLOWED)).alias("wrong"))
 
 
+@query()
+def txt_nearest_runs(spark, sf_dir):
+    """TXT-28, EVL-09: the allowed label that a typed one is nearest to by matching runs; tests hold it against a plain version."""
+    return runs.nearest(table(spark, sf_dir, "events").select("event_id", F.expr(_CLEAN).alias("typed")), "typed", list(_ALLOWED), name="label")
+
+
 _HEAD = pick("event_id", "Job ID", "﻿Title ", "has-body?", "Relevance (1-4)", "note")
 _SYN = {"job id": "job_id", "relevance 1 4": "relevance"}
 _HEAD_N = f"trim(regexp_replace(lower(replace({_HEAD}, '﻿', '')), '[^a-z0-9]+', ' ', 'g'))"
