@@ -9,7 +9,6 @@ from jobstrata.llm import decontam, warc
 
 from . import brute
 from .helpers import differences, documents
-from .test_native import digest
 
 
 def record(kind, rid, block, *more):
@@ -74,8 +73,7 @@ def test_frequent_pages_beyond_the_bound(spark, monkeypatch):
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
 def test_windows_by_hash_alone(spark, sf, limit, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(decontam.scan, "__defaults__", (decontam.WIDTH, limit))
     rows, df = documents(spark, sf)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()] + [(1000, "the of"), (1001, None), (1002, "The, OF"), (None, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert not differences(digest(decontam.judged(df, bench)), brute.leaked(rows, items))
+    assert not differences(decontam.judged(df, bench, limit=limit), brute.leaked(rows, items))

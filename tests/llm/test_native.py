@@ -45,17 +45,26 @@ def test_redaction_covers_overlaps_and_keeps_the_rest(spark):
     assert [tuple(r) for r in pii.redacted(df).orderBy("doc_id").collect()] == [(1, "x\U0001f600 [EMAIL], card [CARD]!", "k"), (2, "nothing", None), (3, None, None)]
 
 
-def digest(df):
-    return df.select("*", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-
-
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
-def test_decontamination(spark, sf, limit, monkeypatch):
-    monkeypatch.setattr(decontam.scan, "__defaults__", (decontam.WIDTH, limit))
+def test_decontamination(spark, sf, limit):
     rows, df = documents(spark, sf)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()] + [(1000, "the of"), (1001, None), (1002, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert not differences(digest(decontam.judged(df, bench)), brute.leaked(rows, items))
+    assert not differences(decontam.judged(df, bench, limit=limit), brute.leaked(rows, items))
+
+
+@pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
+def test_a_window_of_many_items_repeated_in_one_text(spark, limit):
+    """20,000 items with one line in common, and documents that repeat it: no product of items and places."""
+    line = "please choose the one best answer to the question below"
+    bench = spark.range(20_000).select(F.col("id").alias("item_id"), F.concat(F.lit(line + " q"), F.col("id").cast("string")).alias("text"))
+    rows = [(1, " ".join([line] * 20_000)), (2, line + " q7"), (2, "another text"), (None, line), (None, "clean"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_words"]): r for r in decontam.judged(df, bench, limit=limit).collect()}
+    every = ",".join(sorted(map(str, range(20_000))))
+    assert {k: (r["n_hit"], r["n_items"]) for k, r in got.items()} == {(1, 200_000): (200_000, 20_000), (2, 11): (11, 20_000), (2, 2): (0, 0), (None, 10): (10, 20_000), (None, 1): (0, 0), (3, 0): (0, 0)}
+    assert got[1, 200_000]["items_sha256"] == brute.sha(every)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in decontam.clean_documents(df, bench).collect() if r["text"]) == [(0, "clean"), (2, "another text")]
 
 
 def test_spans_are_cut_and_documents_dropped(spark):
