@@ -5,17 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import LEGAL, fold
 
-#: Words that many firms share: one of them alone identifies nobody.
-GENERIC = ("bank", "capital", "finance", "first", "global", "group", "holding", "holdings", "international", "management", "national", "partners", "services", "solutions", "standard", "systems", "technologies", "trading", "united")
 #: A single shared word identifies a firm from this length on.
 LONE_NAME = 5
-CONNECTORS = ("and", "de", "du", "for", "of", "the")
-VEHICLE = r"(?i)\b(etf|fund|sicav|trust|ucits)s?\b"
 
 
 def _literals(values: Sequence[str]) -> Column:
@@ -27,35 +23,55 @@ def identity_tokens(name: Column, legal: Sequence[str] = LEGAL) -> Column:
     return F.filter(F.split(F.trim(fold(name)), " "), lambda t: (F.length(t) > 1) & ~t.isin(*legal))
 
 
-def same_firm(left: Column, right: Column, generic: Sequence[str] = GENERIC) -> Column:
-    """TXT-15: two names start with the same two identity tokens, or with one of `LONE_NAME` letters that isn't generic."""
+def shared_heads(names: DataFrame, name: str, most: int) -> DataFrame:
+    """TXT-15: words that more than `most` firms' names start with, after legal forms: alone they identify nobody. Counted over the different names, not
+    listed by hand, so what is common follows the data. One row a word, as `word`."""
+    own = names.select(identity_tokens(F.col(name)).alias("t")).where(F.size("t") > 0).distinct()
+    return own.groupBy(F.get("t", F.lit(0)).alias("word")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("word")
+
+
+def same_firm(left: Column, right: Column, common: Column | None = None) -> Column:
+    """TXT-15: two names start with the same two identity tokens, or with one of `LONE_NAME` letters.
+
+    common: whether the word that the left name starts with is one of many firms' (see shared_heads); then two must agree.
+    """
     a, b = identity_tokens(left), identity_tokens(right)
+    agree = F.size(F.filter(F.arrays_zip(F.slice(a, 1, 2).alias("a"), F.slice(b, 1, 2).alias("b")), lambda x: x["a"] == x["b"]))
     head = F.get(a, F.lit(0))
-    one = (head == F.get(b, F.lit(0))) & (F.length(head) >= LONE_NAME) & ~head.isin(*generic)
-    two = (F.size(a) > 1) & (F.size(b) > 1) & (F.slice(a, 1, 2) == F.slice(b, 1, 2))
-    return F.coalesce(two | one, F.lit(False))
+    alone = (head == F.get(b, F.lit(0))) & (F.length(head) >= LONE_NAME)
+    if common is not None:
+        alone &= ~F.coalesce(common, F.lit(False))
+    return F.coalesce((agree == 2) | alone, F.lit(False))
 
 
 def place_key(location: Column, synonyms: Mapping[str, str]) -> Column:
-    """TXT-16: a location for stacking: folded, known spellings replaced, a numbered district (`town d07 centre`) as its town."""
+    """TXT-16: a location for stacking: folded, known spellings replaced; what follows the town from its first numbered part on is dropped."""
     folded = F.trim(fold(location))
     plain = F.coalesce(*[F.when(folded == a, b) for a, b in synonyms.items()], folded) if synonyms else folded
-    return F.regexp_replace(plain, "^([a-z]+) d[0-9]{2} .+$", "$1")
+    words = F.split(plain, " ")
+    numbered = F.array_position(F.transform(words, lambda w: w.rlike("[0-9]")), True)
+    return F.when(numbered > 1, F.array_join(F.slice(words, F.lit(1), F.greatest(numbered - 1, F.lit(0)).cast("int")), " ")).otherwise(plain)
+
+
+#: Words that a heading doesn't end with.
+HANGING = ("and", "of", "for")
 
 
 def readable(name: Column, suffixes: Sequence[str] = LEGAL) -> Column:
-    """TXT-17: a legal name as a heading: up to three suffixes and hanging connectors go, a name in one case gets capitals."""
-    out = F.trim(name)
-    for _ in range(3):
-        shorter = F.regexp_replace(out, rf"(?i)[ ,.&]+({'|'.join(suffixes)})[ ,.&]*$", "")
-        out = F.when(shorter != "", shorter).otherwise(out)
-    out = F.regexp_replace(out, rf"(?i)( ({'|'.join(CONNECTORS)}))+$", "")
+    """TXT-17: a legal name as a heading: the words at its end that are legal forms or hang there go, all of them, but never the first word;
+    a name in one case gets capitals."""
+    out = F.regexp_extract(F.trim(name), rf"(?i)^(.+?)(?:[ ,.&]+(?:{'|'.join((*suffixes, *HANGING))}))*[ ,.&]*$", 1)
     return F.when((F.upper(out) == out) | (F.lower(out) == out), F.initcap(out)).otherwise(out)
 
 
-def operating(name: Column) -> Column:
-    """Whether a name may head a card (TXT-18): short, and not that of a fund."""
-    return F.coalesce((F.length(name) < 60) & (name != "") & ~name.rlike(VEHICLE), F.lit(False))
+#: Words that say that a name is that of a fund and not of a firm with staff.
+FUNDS = ("fund", "funds", "etf", "trust")
+
+
+def operating(name: Column, longest: int = 59) -> Column:
+    """Whether a name may head a card (TXT-18): not empty, not too long, and not that of a fund."""
+    words = F.split(F.trim(fold(name)), " ")
+    return F.coalesce(F.length(name).between(1, longest) & ~F.arrays_overlap(words, _literals(FUNDS)), F.lit(False))
 
 
 def country_code(value: Column, synonyms: Mapping[str, str]) -> Column:
@@ -70,30 +86,44 @@ def firm_key(domain: Column, employer: Column) -> Column:
     return F.coalesce(F.nullif(domain, F.lit("")), F.concat(F.lit("~"), F.lower(F.coalesce(F.nullif(employer, F.lit("")), F.lit("unknown")))))
 
 
-def domain_labels(name: Column, most: int = 5) -> Column:
-    """TXT-25: labels worth trying for a firm's domain, most specific first: all words, two words as written, distinctive words."""
-    words = F.split(F.trim(fold(name)), " ")
-    known, own = identity_tokens(name), F.filter(identity_tokens(name), lambda t: ~t.isin(*GENERIC))
-    tries = F.array(
-        F.array_join(words, ""),
-        F.when(F.size(known) > 2, F.array_join(F.slice(known, 1, 2), "")),
-        F.array_join(own, ""),
-        F.when(F.size(own) > 1, F.array_join(F.slice(own, 1, 2), "")),
-        F.when(F.size(own) > 1, F.array_join(F.slice(own, 1, 2), "-")),
-        F.get(own, F.lit(0)),
-    )
-    return F.slice(F.array_distinct(F.filter(tries, lambda x: F.length(x).between(4, 40))), 1, most)
+def counted_tokens(names: DataFrame, key: str, name: str) -> DataFrame:
+    """key, words (folded) and own: the identity tokens in order, each with n, the number of different names that have it.
 
+    One row a name and token is shuffled; of each token one number comes back.
+    """
+    told = names.select(key, F.split(F.trim(fold(F.col(name))), " ").alias("words"), identity_tokens(F.col(name)).alias("t"))
+    counts = told.select("t").distinct().select(F.explode(F.array_distinct("t")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    each = told.select(key, F.posexplode("t").alias("at", "word")).join(counts, "word")
+    own = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "word", "n"))).alias("own"))
+    return told.join(own, key, "left").select(key, "words", F.coalesce("own", F.array().cast("array<struct<at:int,word:string,n:bigint>>")).alias("own"))
 
-def needles(name: Column, least: int = 4) -> Column:
-    """TXT-26: phrases (needle, strength) that a page must print to be the firm's; one word of several is weak."""
-    words = F.split(F.trim(fold(name)), " ")
-    known, own = identity_tokens(name), F.filter(identity_tokens(name), lambda t: ~t.isin(*GENERIC))
-    first = F.coalesce(F.get(own, F.lit(0)), F.get(known, F.lit(0)), F.get(words, F.lit(0)))
-    one = lambda n, s: F.struct(n.alias("needle"), F.lit(s).alias("strength"))
-    pair = lambda a: F.when(F.size(a) > 1, F.array_join(F.slice(a, 1, 2), " "))
-    last = F.struct(first.alias("needle"), F.when(F.size(words) == 1, "strong").otherwise("weak").alias("strength"))
-    every = F.array(one(F.array_join(words, " "), "strong"), one(pair(known), "strong"), one(pair(own), "strong"), last)
+
+def token_runs(own: Column, longest: int = 3) -> Column:
+    """All runs of up to `longest` counted tokens, the most specific first: by how many names its rarest token has, then the longer one, then in order."""
+
+    def run(i: Column, k: Column) -> Column:
+        part = F.slice(own, i + 1, k)
+        return F.struct(F.array_min(F.transform(part, lambda x: x["n"])).alias("n"), (-k).alias("k"), i.alias("at"), F.transform(part, lambda x: x["word"]).alias("words"))
+
+    starts = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1)).otherwise(F.array().cast("array<int>"))
+    every = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(F.sequence(F.lit(1), F.lit(longest)), lambda k: i + k <= F.size(own)), lambda k: run(i, k))))
+    return F.array_sort(every)
+
+
+def domain_labels(words: Column, own: Column, most: int = 5) -> Column:
+    """TXT-25: labels of 4 to 40 letters worth trying for a firm's domain: runs of its tokens by how specific they are, written together and
+    (two words) with a hyphen; last the whole name."""
+    tries = F.flatten(F.transform(token_runs(own), lambda r: F.array(F.array_join(r["words"], ""), F.when(F.size(r["words"]) == 2, F.array_join(r["words"], "-")))))
+    return F.slice(F.array_distinct(F.filter(F.concat(tries, F.array(F.array_join(words, ""))), lambda x: F.length(x).between(4, 40))), 1, most)
+
+
+def needles(words: Column, own: Column, least: int = 4) -> Column:
+    """TXT-26: phrases (needle, strength) that a page must print to be the firm's: its name, its most specific run of several tokens, and its most
+    specific token, which is weak evidence unless it is the whole name."""
+    runs = token_runs(own)
+    best = lambda several: F.get(F.filter(runs, lambda r: (F.size(r["words"]) > 1) == several), F.lit(0))["words"]
+    one = lambda n, s: F.struct(n.alias("needle"), s.alias("strength"))
+    every = F.array(one(F.array_join(words, " "), F.lit("strong")), one(F.array_join(best(F.lit(True)), " "), F.lit("strong")), one(F.array_join(best(F.lit(False)), " "), F.when(F.size(words) == 1, "strong").otherwise("weak")))
     return F.array_distinct(F.filter(every, lambda x: F.length(x["needle"]) >= least))
 
 
@@ -116,30 +146,58 @@ def header(name: Column, synonyms: Mapping[str, str]) -> Column:
 
 
 def unescaped(markup: Column) -> Column:
-    """TXT-32: what scripts escape in addresses, undone: slashes, quotes, ampersands."""
-    for a, b in (("\\u002F", "/"), ("\\u002f", "/"), ("\\/", "/"), ("\\u0026", "&"), ("\\u003D", "="), ("&amp;", "&"), ("&quot;", '"'), ("&#x2F;", "/")):
-        markup = F.replace(markup, F.lit(a), F.lit(b))
-    return markup
+    """TXT-32: markup with what scripts escape undone: it is read as the inside of a JSON string, then XML's entities and numbers of characters are
+    decoded. What isn't valid there stays as it is."""
+    inside = F.regexp_replace(markup, r'(?<!\\)"', r'\\"')
+    text = F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), inside, F.lit('"}')), "v string", {"allowUnquotedControlChars": "true"})["v"], markup)
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    parts, codes = F.split(text, "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", -1), F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 1)
+    number = lambda c: F.when(c.rlike("^[xX]"), F.conv(F.substring(c, 2, 6), 16, 10)).otherwise(c).cast("int")
+    char = lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("")
+    whole = F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i > 0, char(number(F.get(codes, i - 1)))).otherwise(""), p)), "")
+    return F.replace(F.when(F.size(parts) > 1, whole).otherwise(text), F.lit("&amp;"), F.lit("&"))
 
 
 def fragment(text: Column) -> Column:
-    """TXT-04: text folded as firms' names are on pages: dots and slashes go, other marks are spaces, padded."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[./]", ""), "[^a-z0-9]+", " ")), F.lit(" "))
+    """TXT-04: a text as names are looked for on pages: only its letters and digits, dots and slashes inside words left out, padded."""
+    words = F.regexp_extract_all(F.translate(F.lower(text), "./", ""), F.lit("[a-z0-9]+"), 0)
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
 
 
-_YEARS = (r" (\d{1,2}) *[+] *(?:years|yrs|year)(?= )", r" (?:at least|minimum|minimum of|min|over) (\d{1,2}) (?:years|yrs)(?= )", r" (\d{1,2}) (?:to|or) \d{1,2} (?:years|yrs)(?= )", r" \d{1,2} (?:to|or) (\d{1,2}) (?:years|yrs)(?= )", r" (\d{1,2}) \d{1,2} (?:years|yrs)(?= )", r" \d{1,2} (\d{1,2}) (?:years|yrs)(?= )", r" (\d{1,2}) (?:years|yrs)(?: of)?(?: relevant| professional| work| industry| prior)? experience(?= )")
+YEAR_WORDS = ("year", "years", "yr", "yrs")
+#: Words before a number of years, at most three words away, that make it a demand.
+ASKING = ("least", "minimum", "min", "over", "minst", "mindestens")
 
 
 def experience_floor(folded: Column, most: int = 30) -> Column:
-    """TXT-10: the smallest number of years that a folded text demands, `most` at most: `5+ yrs`, `at least 5 years`, `2 or 3 years`,
-    `2 3 years`, `5 years of relevant experience`; null if none. Years without a demand don't count."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(folded, F.lit(p), 1), lambda x: x.cast("int")) for p in _YEARS])
-    return F.array_min(F.filter(found, lambda x: x <= most))
+    """TXT-10: the smallest number of years that a folded text demands, `most` at most; null if none.
+
+    Tokens are read from each word for years backwards: its number, the lower one where there are two (`2 or 3`, `2 3`). It is demanded if a
+    plus stands by it, if it is one of two, if a word that asks stands before it, or `experience` among the four words after.
+    """
+    w = F.concat(F.array_repeat(F.lit(""), 6), F.split(F.trim(folded), " "))
+    number = lambda t: t.rlike("^[0-9]{1,2}[+]?$")
+    at = lambda i: F.get(w, i)
+
+    def years(i: Column) -> Column:
+        k = F.when(at(i - 1) == "+", i - 2).otherwise(i - 1)
+        low = F.when(number(at(k - 1)), k - 1).when(at(k - 1).isin("to", "or") & number(at(k - 2)), k - 2).otherwise(k)
+        asked = (k < i - 1) | at(k).contains("+") | (low < k) | F.arrays_overlap(F.slice(w, F.greatest(low - 2, F.lit(1)), 3), _literals(ASKING)) | F.array_contains(F.slice(w, i + 2, 4), "experience")
+        return F.when(number(at(k)) & asked, F.replace(at(low), F.lit("+"), F.lit("")).cast("int"))
+
+    units = F.filter(F.sequence(F.lit(6), F.size(w) - 1), lambda i: at(i).isin(*YEAR_WORDS))
+    return F.when(F.size(w) > 6, F.array_min(F.filter(F.transform(units, years), lambda y: y <= most)))
+
+
+#: Words that make a title one for students wherever they stand; `student` does so at either end of it only.
+TRAINEES = ("intern", "internship", "trainee", "werkstudent", "praktikant")
 
 
 def student_title(folded: Column) -> Column:
-    """TXT-12: a title for students, unless it only works with them."""
-    return F.coalesce(folded.rlike(" (intern|internship|student|trainee|werkstudent|praktikant) ") & ~folded.rlike(" (student (affairs|loans|services|success)|internal) "), F.lit(False))
+    """TXT-12: a title for students, not for work with them: a word for trainees anywhere, or `student` as its first or last word."""
+    words = F.split(F.trim(folded), " ")
+    return F.coalesce(F.arrays_overlap(words, _literals(TRAINEES)) | (F.get(words, F.lit(0)) == "student") | (F.element_at(words, -1) == "student"), F.lit(False))
 
 
 def doctorate_only(folded: Column) -> Column:
@@ -154,19 +212,27 @@ def cjk_share(text: Column) -> Column:
     return F.try_divide(cjk, letters)
 
 
+#: Headings of the part of a text that says what the work is, and of the parts after it.
+WORK_HEADS = ("your tasks", "tasks", "duties", "your duties", "responsibilities", "what you will do", "the work")
+OTHER_HEADS = ("requirements", "your profile", "profile", "skills", "qualifications", "what we offer", "we offer", "about us", "who we are")
+#: How a statement begins that is about the firm.
+FIRM_FIRST = ("we", "our", "us", "the")
+
+
 def duties(text: Column, verbs: Sequence[str]) -> Column:
-    """TXT-33: the folded statements of work in a description.
+    """TXT-33: the folded statements of work in a description, in order: those with one of the verbs.
 
-    Between the heading of duties and that of demands each statement with one of the verbs; without such a heading only statements
-    that address the applicant or start with a verb.
+    Tags, line ends, colons, semicolons and ends of sentences part statements. Where a heading of work stands, only statements count that
+    come after it with no other heading between; without one all but those that begin as the firm speaks of itself.
     """
-    flat = F.regexp_replace(F.regexp_replace(text, r"(?i)</(?:li|p|div|h[1-6])>|<br\s*/?>", "\n"), "<[^>]*>", " ")
-    section = F.regexp_extract(flat, r"(?is)(?:responsibilities|what you will do)\b:?(.*?)(?:\b(?:requirements|qualifications)\b|$)", 1)
-    whole = F.when(section != "", section).otherwise(flat)
-    parts = F.filter(F.transform(F.split(F.regexp_replace(whole, "([.!?])\\s+", "$1\n"), "[\n;]+"), lambda p: F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9+#]+", " "))), lambda p: p != "")
-    work = rf"\b({'|'.join(verbs)})\b"
-    open_ = rf"^(you|your|we are looking for|in this role|this role|this position)\b|^({'|'.join(verbs)})\b"
-    return F.filter(parts, lambda p: p.rlike(work) & ((section != "") | p.rlike(open_)))
+    parts = F.split(F.regexp_replace(text, "<[^>]*>", "\n"), r"[\n;:]+|[.!?]+(?:\s+|$)", -1)
+    told = F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9+#]+", " "))), lambda p: p != "")
+    heads = F.transform(told, lambda p: F.when(p.isin(*WORK_HEADS), 1).when(p.isin(*OTHER_HEADS), 0))
+    ruled = F.array_contains(heads, 1)
+    before = lambda i: F.element_at(F.filter(F.slice(heads, F.lit(1), i + 1), lambda h: h.isNotNull()), -1)
+    own = lambda p, i: F.when(ruled, F.when(F.exists(F.slice(heads, F.lit(1), i + 1), lambda h: h.isNotNull()), before(i) == 1)).otherwise(~F.split(p, " ")[0].isin(*FIRM_FIRST))
+    works = lambda p: F.arrays_overlap(F.split(p, " "), _literals(verbs))
+    return F.array_compact(F.transform(told, lambda p, i: F.when(F.get(heads, i).isNull() & works(p) & F.coalesce(own(p, i), F.lit(False)), p)))
 
 
 def posted_date(value: Column, first_seen: Column, observed: Column) -> Column:
@@ -199,7 +265,8 @@ def month_date(value: Column, months: Mapping[str, int]) -> Column:
 
 
 def placeless_token(token: Column, furniture: Sequence[str], never: Sequence[str] = ("www",)) -> Column:
-    """FLT-16: whether a board's token names the vendor's own host: each part of its first component is furniture or a number, or one
-    part is never a board; so is an empty one."""
-    parts = F.filter(F.split(F.lower(F.split(token, r"\|")[0]), "[-_]+"), lambda p: p != "")
-    return (F.size(parts) == 0) | F.arrays_overlap(parts, _literals(never)) | F.forall(parts, lambda p: p.isin(*furniture) | p.rlike("^[0-9]+$"))
+    """FLT-16: whether a board's token names the vendor's own host: nothing but numbers is left of its first component without furniture, or a
+    part of it is never a board's."""
+    parts = F.regexp_extract_all(F.lower(F.substring_index(token, "|", 1)), F.lit("[^-_]+"), 0)
+    left = F.array_join(F.array_except(parts, _literals(furniture)), "")
+    return ~left.rlike("[^0-9]") | F.arrays_overlap(parts, _literals(never))

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import stored
+
 
 def still_listed(rows: DataFrame, live: DataFrame, board: list[str], snapshots: Column) -> DataFrame:
     """FLT-08, AGG-10: rows with gone: `retired_board` if the board isn't live, `withdrawn` if its last complete read came after the row's last_seen.
@@ -52,43 +56,45 @@ def pages_after(rows: DataFrame, key: list[str], last: Sequence | None, size: in
 
 
 def fair_draw(rows: DataFrame, bucket: str, board: list[str], order: list[Column], shares: Mapping[str, float], limit: int, cap: int = 2) -> DataFrame:
-    """SRT-10, WIN-05: `limit` rows in strata: each bucket's share in turn, of one board `cap` rows at most over all buckets, and what a bucket
-    lacks is handed to the others in their order.
+    """SRT-10, WIN-05: `limit` rows in strata: of each bucket its share, of one board `cap` rows at most over all buckets; what a bucket can't fill
+    goes to whatever rows are left, earlier buckets first. Fewer only if no further row fits under the cap.
 
-    A bucket's candidates are cut to `cap` a board on the executors: the first of a board always come before its others. Of these at most
-    `limit` are taken and at most `limit` skipped, for boards that rows already drawn have filled; so the first 2 * limit of a bucket
-    hold all that can be drawn, and no more come to the driver.
+    Rounds of window ranks: in each, candidates of boards with room are ranked by bucket and order within their board, those within its room by
+    order within their bucket, and those within the bucket's open quota are taken; a round in which nothing fits ends the quotas, and
+    then the whole rest is one quota. Each round takes at least one row if any fits. Ranks that matter are small, so tasks cut
+    candidates before they are shuffled. The numbers of a round come to the driver, rows never do. `order` must tell rows apart.
     """
-    within = Window.partitionBy(bucket, *board).orderBy(*order)
-    several = Window.partitionBy(bucket).orderBy(*order)
-    some = rows.where(F.col(bucket).isin(*shares)).withColumn("__b", F.row_number().over(within)).where(F.col("__b") <= cap).withColumn("__r", F.row_number().over(several)).where(F.col("__r") <= 2 * limit)
-    found: dict[str, list] = {b: [] for b in shares}
-    for r in some.orderBy(bucket, "__r").collect():
-        found[r[bucket]].append(r)
-    chosen, seen, taken = [], {}, set()
-
-    def fill(name: str, want: int) -> int:
-        for k, r in enumerate(found[name]):
-            where = tuple(r[b] for b in board)
-            if want <= 0 or len(chosen) >= limit:
-                break
-            if (name, k) not in taken and seen.get(where, 0) < cap:
-                seen[where] = seen.get(where, 0) + 1
-                taken.add((name, k))
-                chosen.append(r)
-                want -= 1
-        return want
-
-    for name, share in shares.items():
-        fill(name, round(limit * share))
-    while len(chosen) < limit:
-        before = len(chosen)
-        for name in shares:
-            fill(name, limit - len(chosen))
-        if len(chosen) == before:
+    place = F.array_position(F.array(*[F.lit(b) for b in shares]), F.col(bucket)).cast("int")
+    by = [F.col(f"__o{i}") for i in range(len(order))]
+    first = Window.partitionBy("__place", *board).orderBy(*by)
+    open_ = rows.where(F.col(bucket).isin(*shares)).select("*", place.alias("__place"), *[o.alias(f"__o{i}") for i, o in enumerate(order)])
+    open_ = stored(open_.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= cap).drop("__r"), "candidates")
+    taken = open_.limit(0)
+    quotas: dict[int, int] | None = {k + 1: round(limit * share) for k, share in enumerate(shares.values())}
+    n = 0
+    while n < limit:
+        used = taken.groupBy(*board).agg(F.count(F.lit(1)).alias("__used")).select(*[F.col(b).alias(f"__b{i}") for i, b in enumerate(board)], "__used")
+        room = reduce(and_, [F.col(b).eqNullSafe(F.col(f"__b{i}")) for i, b in enumerate(board)])
+        left = open_.join(taken.select(*[c.alias(f"__k{i}") for i, c in enumerate(by)]), reduce(and_, [c.eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]), "left_anti")
+        left = left.join(used, room, "left").withColumn("__room", cap - F.coalesce("__used", F.lit(0))).drop("__used", *[f"__b{i}" for i in range(len(board))])
+        if quotas is not None:  # buckets that have their share don't stand in the way of others
+            left = left.where(F.col("__place").isin(*[k for k, q in quotas.items() if q > 0]))
+        fits = left.withColumn("__r", F.row_number().over(Window.partitionBy(*board).orderBy("__place", *by))).where(F.col("__r") <= F.col("__room"))
+        if quotas is None:
+            some = fits.orderBy("__place", *by).limit(limit - n)
+        else:
+            quota = F.element_at(F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair]), F.col("__place"))
+            some = fits.withColumn("__r", F.row_number().over(Window.partitionBy("__place").orderBy(*by))).where(F.col("__r") <= F.least(quota, F.lit(limit - n)))
+            some = some.orderBy("__place", *by).limit(limit - n)
+        some = stored(some.select(*open_.columns), "taken")
+        got = {r["__place"]: r["n"] for r in some.groupBy("__place").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a bucket
+        n += sum(got.values())
+        taken = stored(taken.unionByName(some), "drawn")
+        if quotas is not None:
+            quotas = {k: q - got.get(k, 0) for k, q in quotas.items()} if got else None
+        elif not got:
             break
-    spark = rows.sparkSession
-    return spark.createDataFrame(chosen, some.schema).drop("__b", "__r") if chosen else some.limit(0).drop("__b", "__r")
+    return taken.select(*rows.columns)
 
 
 def contained_runs(rows: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:

@@ -45,7 +45,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = tx.fold(F.col("title"), F.col("body"))
     return rows.select("*", tx.fold(F.col("title")).alias("t"), tx.fold(F.col("body")).alias("b"), x.alias("x"), tx.fold(F.coalesce("place", F.lit(""))).alias("l")).select(
         "*",
-        F.col("b").alias("d"),
+        F.concat(F.lit(" "), F.array_join(nm.duties(F.col("body"), _VERBS), " | "), F.lit(" ")).alias("d"),
         (F.col("body") != "").alias("has_body"),
         nm.student_title(F.col("t")).alias("student_title"),
         nm.doctorate_only(F.col("t")).alias("doctorate_only"),
@@ -54,11 +54,33 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_YEARS_SQL = "list_min(list_filter(list_transform(" + "list_concat(" * (len(nm._YEARS) - 1) + f"regexp_extract_all(' ' || @, '{nm._YEARS[0].replace('(?= )', ' ')}', 1)" + "".join(f", regexp_extract_all(@, '{p.replace('(?= )', ' ')}', 1))" for p in nm._YEARS[1:]) + ", lambda y: CAST(y AS INTEGER)), lambda y: y <= 30))"
-_STUDENT_SQL = "(regexp_matches(@, ' (intern|internship|student|trainee|werkstudent|praktikant) ') AND NOT regexp_matches(@, ' (student (affairs|loans|services|success)|internal) '))"
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def _years_sql(x: str) -> str:
+    """The demanded years of a folded text x: tokens are read as w, padded by six blanks, from each word for years backwards."""
+    number = lambda t: f"regexp_matches({t}, '^[0-9]{{1,2}}[+]?$')"
+    k = "CASE WHEN w[i - 1] = '+' THEN i - 2 ELSE i - 1 END"
+    low = f"CASE WHEN {number('w[p[2] - 1]')} THEN p[2] - 1 WHEN w[p[2] - 1] IN ('to', 'or') AND {number('w[p[2] - 2]')} THEN p[2] - 2 ELSE p[2] END"
+    pairs = f"list_transform(list_filter(range(7, len(w) + 1), lambda i: list_contains({_list(nm.YEAR_WORDS)}, w[i])), lambda i: [i, {k}])"
+    threes = f"list_transform(list_filter({pairs}, lambda p: {number('w[p[2]]')}), lambda p: [p[1], p[2], {low}])"
+    asked = f"q[2] < q[1] - 1 OR contains(w[q[2]], '+') OR q[3] < q[2] OR list_has_any(w[q[3] - 3:q[3] - 1], {_list(nm.ASKING)}) OR list_contains(w[q[1] + 1:q[1] + 4], 'experience')"
+    return f"(SELECT list_min(list_filter(list_transform(list_filter({threes}, lambda q: {asked}), lambda q: CAST(replace(w[q[3]], '+', '') AS INTEGER)), lambda y: y <= 30)) FROM (SELECT list_concat(['', '', '', '', '', ''], string_split(trim({x}), ' ')) AS w))"
+
+
+def _duties_sql(text: str, verbs) -> str:
+    """The statements of work in a text, as a list."""
+    told = f"list_filter(list_transform(string_split_regex(regexp_replace({text}, '<[^>]*>', chr(10), 'g'), '[\n;:]+|[.!?]+(?:\\s+|$)'), lambda p: trim(regexp_replace(lower(p), '[^a-z0-9+#]+', ' ', 'g'))), lambda p: p <> '')"
+    heads = f"list_transform(d, lambda p: CASE WHEN list_contains({_list(nm.WORK_HEADS)}, p) THEN 1 WHEN list_contains({_list(nm.OTHER_HEADS)}, p) THEN 0 END)"
+    own = f"CASE WHEN list_contains(h, 1) THEN coalesce(list_filter(h[1:i], lambda x: x IS NOT NULL)[-1] = 1, false) ELSE NOT list_contains({_list(nm.FIRM_FIRST)}, string_split(d[i], ' ')[1]) END"
+    return f"(SELECT list_transform(list_filter(range(1, len(d) + 1), lambda i: h[i] IS NULL AND list_has_any(string_split(d[i], ' '), {_list(verbs)}) AND {own}), lambda i: d[i]) FROM (SELECT d, {heads} AS h FROM (SELECT {told} AS d)))"
+
+
+_STUDENT_SQL = f"(list_has_any(string_split(trim(@), ' '), {_list(nm.TRAINEES)}) OR string_split(trim(@), ' ')[1] = 'student' OR string_split(trim(@), ' ')[-1] = 'student')"
 _DOCTOR_SQL = "(regexp_matches(@, ' (phd|doctorate|doctoral) ') AND NOT regexp_matches(@, ' (bachelor|bsc|master|masters|msc) '))"
 _COMPOUND_SQL = "list_filter(string_split(trim(@), ' '), lambda w: length(w) >= 9 AND ((ends_with(w, 'ausbilder') AND length(w) >= 12) OR (ends_with(w, 'fahrer') AND length(w) >= 9)))[1]"
-_BASE_SQL = f"SELECT *, b AS d, body <> '' AS has_body, {_STUDENT_SQL.replace('@', 't')} AS student_title, {_DOCTOR_SQL.replace('@', 't')} AS doctorate_only, {_COMPOUND_SQL.replace('@', 't')} AS compound, {_YEARS_SQL.replace('@', 'x')} AS experience_floor FROM (SELECT *, {sql_fold('title')} AS t, {sql_fold('body')} AS b, {sql_fold(chr(39) * 2 + ' || title || ' + chr(39) + ' ' + chr(39) + ' || body')} AS x, {sql_fold('coalesce(place, ' + chr(39) * 2 + ')')} AS l FROM (SELECT {', '.join(f'{e} AS {c}' for c, e in _POSTING.items())} FROM orders))"
+_BASE_SQL = f"SELECT *, ' ' || array_to_string({_duties_sql('body', _VERBS)}, ' | ') || ' ' AS d, body <> '' AS has_body, {_STUDENT_SQL.replace('@', 't')} AS student_title, {_DOCTOR_SQL.replace('@', 't')} AS doctorate_only, {_COMPOUND_SQL.replace('@', 't')} AS compound, {_years_sql('x')} AS experience_floor FROM (SELECT *, {sql_fold('title')} AS t, {sql_fold('body')} AS b, {sql_fold(chr(39) * 2 + ' || title || ' + chr(39) + ' ' + chr(39) + ' || body')} AS x, {sql_fold('coalesce(place, ' + chr(39) * 2 + ')')} AS l FROM (SELECT {', '.join(f'{e} AS {c}' for c, e in _POSTING.items())} FROM orders))"
 
 _RUNG = "CASE rung " + " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(pr.RUNGS)) + " END"
 _BY_YEARS = "CASE WHEN experience_floor >= 8 THEN 4 WHEN experience_floor >= 5 THEN 3 WHEN experience_floor >= 3 THEN 2 END"
@@ -136,10 +158,7 @@ def cls_posting_tags(spark, sf_dir):
     return cascade.tags(out, ["id"], _TAG_STEPS, F.when(F.length("body") > 200, "strong").otherwise("weak"))
 
 
-_DUTY_FLAT = r"regexp_replace(regexp_replace(t, '(?i)</(?:li|p|div|h[1-6])>|<br\s*/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
-
-
-@query(rf"WITH a AS (SELECT o_orderkey, {_DUTY} AS t FROM orders), f AS (SELECT o_orderkey, {_DUTY_FLAT} AS f FROM a), s AS (SELECT *, regexp_extract(f, '(?is)(?:responsibilities|what you will do)\b:?(.*?)(?:\b(?:requirements|qualifications)\b|$)', 1) AS s FROM f), p AS (SELECT o_orderkey, s, list_filter(list_transform(string_split_regex(regexp_replace(CASE WHEN s <> '' THEN s ELSE f END, '([.!?])\s+', '\1' || chr(10), 'g'), '[\n;]+'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9+#]+', ' ', 'g'))), lambda x: x <> '' AND regexp_matches(x, '\b({'|'.join(_VERBS)})\b') AND (s <> '' OR regexp_matches(x, '^(you|your|we are looking for|in this role|this role|this position)\b|^({'|'.join(_VERBS)})\b'))) AS d FROM s) SELECT o_orderkey, array_to_string(d, '|') AS duties, CASE WHEN contains(array_to_string(d, '|'), 'tickets') AND NOT contains(array_to_string(d, '|'), 'build') THEN 'support' END AS scope FROM p")
+@query(f"SELECT o_orderkey, array_to_string(d, '|') AS duties, CASE WHEN contains(array_to_string(d, '|'), 'tickets') AND NOT contains(array_to_string(d, '|'), 'build') THEN 'support' END AS scope FROM (SELECT o_orderkey, {_duties_sql(_DUTY, _VERBS)} AS d FROM orders)")
 def cls_scope(spark, sf_dir):
     """CLS-23, TXT-33: the duties of a posting, and whether they are support alone."""
     d = nm.duties(F.expr(_DUTY), _VERBS)
@@ -161,26 +180,27 @@ def cls_cjk(spark, sf_dir):
 _FIRM = "concat(" + pick("s_suppkey", "Northern ", "GLOBAL ", "J.P. Alder ", "alpine capital ", "First Meridian ", "Meridian ") + ", " + pick("s_suppkey % 11", "Trading", "RIVER FUND", "Partners", "Systems and", "Labs", "Bank of", "Holding") + ", " + pick("s_suppkey % 13", " AB", " GmbH & Co. KG", " Ltd.", "", " S.A.", " PLC", " llc") + ")"
 _FIRM2 = "concat(" + pick("s_suppkey", "Northern ", "Global ", "JP Alder ", "Alpine ", "First Meridian ", "Meridian Labs ") + ", " + pick("s_suppkey % 7", "Trading", "Group", "Labs", "Partners LLP") + ")"
 _LEGAL_SQL = ", ".join(f"'{x}'" for x in tx.LEGAL)
-_GENERIC_SQL = ", ".join(f"'{x}'" for x in nm.GENERIC)
 
 
 def _tokens_sql(e: str) -> str:
     return f"list_filter(string_split(trim({sql_fold(e)}), ' '), lambda w: length(w) > 1 AND w NOT IN ({_LEGAL_SQL}))"
 
 
-@query(f"WITH t AS (SELECT s_suppkey, {_tokens_sql(_FIRM)} AS a, {_tokens_sql(_FIRM2)} AS b FROM supplier) SELECT s_suppkey, array_to_string(a, ' ') AS tokens, coalesce((len(a) > 1 AND len(b) > 1 AND a[1:2] = b[1:2]) OR (a[1] = b[1] AND length(a[1]) >= 5 AND a[1] NOT IN ({_GENERIC_SQL})), false) AS same FROM t")
-def txt_same_firm(spark, sf_dir):
-    """TXT-14, TXT-15: identity tokens, and names that mean one firm; a generic word alone means none."""
-    a, b = F.expr(_FIRM), F.expr(_FIRM2)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(nm.identity_tokens(a), " ").alias("tokens"), nm.same_firm(a, b).alias("same"))
+#: More firms than this start with a word that identifies nobody.
+_COMMON = 2
 
 
-def _strip_sql(e: str, k: int) -> str:
-    s = f"regexp_replace({e}, '(?i)[ ,.&]+({'|'.join(tx.LEGAL)})[ ,.&]*$', '')"
-    return s if k == 1 else _strip_sql(f"CASE WHEN {s} <> '' THEN {s} ELSE {e} END", k - 1)
+@query(f"WITH t AS (SELECT s_suppkey, {_tokens_sql(_FIRM)} AS a, {_tokens_sql(_FIRM2)} AS b FROM supplier), f AS (SELECT DISTINCT x FROM (SELECT a AS x FROM t UNION ALL SELECT b FROM t) WHERE len(x) > 0), g AS (SELECT x[1] AS word FROM f GROUP BY 1 HAVING count(*) > {_COMMON}) SELECT s_suppkey, array_to_string(a, ' ') AS tokens, word IS NOT NULL AS common, coalesce((len(a) > 1 AND len(b) > 1 AND a[1:2] = b[1:2]) OR (a[1] = b[1] AND length(a[1]) >= 5 AND word IS NULL), false) AS same FROM t LEFT JOIN g ON word = a[1]")
+def txt_same_firm(spark, sf_dir):
+    """TXT-14, TXT-15: identity tokens, and names that mean one firm; a word that many firms start with means none of them alone."""
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_FIRM).alias("a"), F.expr(_FIRM2).alias("b"))
+    heads = nm.shared_heads(own.select("a").unionByName(own.select(F.col("b").alias("a"))), "a", _COMMON)
+    told = own.join(heads, F.get(nm.identity_tokens(F.col("a")), F.lit(0)) == F.col("word"), "left").withColumn("common", F.col("word").isNotNull())
+    return told.select("s_suppkey", F.array_join(nm.identity_tokens(F.col("a")), " ").alias("tokens"), "common", nm.same_firm(F.col("a"), F.col("b"), F.col("common")).alias("same"))
 
 
-_READ = f"s1 AS (SELECT s_suppkey, n, CASE WHEN {_strip_sql('n', 1)} <> '' THEN {_strip_sql('n', 1)} ELSE n END AS r FROM n0), s2 AS (SELECT s_suppkey, n, CASE WHEN {_strip_sql('r', 1)} <> '' THEN {_strip_sql('r', 1)} ELSE r END AS r FROM s1), s3 AS (SELECT s_suppkey, n, regexp_replace(CASE WHEN {_strip_sql('r', 1)} <> '' THEN {_strip_sql('r', 1)} ELSE r END, '(?i)( ({'|'.join(nm.CONNECTORS)}))+$', '') AS r FROM s2), r AS (SELECT s_suppkey, n, CASE WHEN upper(r) = r OR lower(r) = r THEN array_to_string(list_transform(string_split(r, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE r END AS readable FROM s3)"
+_READABLE = f"regexp_extract(n, '(?i)^(.+?)(?:[ ,.&]+(?:{'|'.join((*tx.LEGAL, *nm.HANGING))}))*[ ,.&]*$', 1)"
+_READ = f"r AS (SELECT s_suppkey, n, CASE WHEN upper(r) = r OR lower(r) = r THEN array_to_string(list_transform(string_split(r, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE r END AS readable FROM (SELECT *, {_READABLE} AS r FROM n0))"
 
 
 @query(f"WITH n0 AS (SELECT s_suppkey, trim({_FIRM}) AS n FROM supplier), {_READ} SELECT s_suppkey, readable FROM r")
@@ -189,7 +209,7 @@ def txt_readable(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", nm.readable(F.expr(_FIRM)).alias("readable"))
 
 
-@query(f"WITH n0 AS (SELECT s_suppkey, trim({_FIRM}) AS n FROM supplier), {_READ}, d AS (SELECT *, concat('site', s_suppkey % 10, '.example.org') AS domain FROM r), b AS (SELECT domain, min(struct_pack(l := length(n), n := n, r := readable)) FILTER (length(n) < 60 AND n <> '' AND NOT regexp_matches(n, '{nm.VEHICLE}')) AS m FROM d GROUP BY domain) SELECT domain, coalesce(m.r, string_split(domain, '.')[-2]) AS heading FROM b")
+@query(f"WITH n0 AS (SELECT s_suppkey, trim({_FIRM}) AS n FROM supplier), {_READ}, d AS (SELECT *, concat('site', s_suppkey % 10, '.example.org') AS domain FROM r), b AS (SELECT domain, min(struct_pack(l := length(n), n := n, r := readable)) FILTER (length(n) BETWEEN 1 AND 59 AND NOT list_has_any(string_split(trim({sql_fold('n')}), ' '), {_list(nm.FUNDS)})) AS m FROM d GROUP BY domain) SELECT domain, coalesce(m.r, string_split(domain, '.')[-2]) AS heading FROM b")
 def txt_display(spark, sf_dir):
     """TXT-18: the shortest operating name of a domain, made readable; without one the domain's own label."""
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site"), (F.col("s_suppkey") % 10).cast("string"), F.lit(".example.org")).alias("domain"), F.trim(F.expr(_FIRM)).alias("n"))
@@ -197,21 +217,28 @@ def txt_display(spark, sf_dir):
     return best.select("domain", F.coalesce(nm.readable(F.col("m.n")), F.element_at(F.split("domain", "[.]"), -2)).alias("heading"))
 
 
-_TRIES = "[array_to_string(w, ''), CASE WHEN len(k) > 2 THEN array_to_string(k[1:2], '') END, array_to_string(d, ''), CASE WHEN len(d) > 1 THEN array_to_string(d[1:2], '') END, CASE WHEN len(d) > 1 THEN array_to_string(d[1:2], '-') END, d[1]]"
-_WORDS_SQL = f"WITH a AS (SELECT s_suppkey, string_split(trim({sql_fold(_FIRM)}), ' ') AS w, {_tokens_sql(_FIRM)} AS k FROM supplier), b AS (SELECT *, list_filter(k, lambda x: x NOT IN ({_GENERIC_SQL})) AS d FROM a)"
+_RUNS_SQL = f"""
+WITH a AS (SELECT s_suppkey, string_split(trim({sql_fold(_FIRM)}), ' ') AS w, {_tokens_sql(_FIRM)} AS t FROM supplier),
+c AS (SELECT word, count(*) AS n FROM (SELECT DISTINCT t, unnest(list_distinct(t)) AS word FROM a) GROUP BY word),
+u AS (SELECT s_suppkey, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS pos FROM a),
+o AS (SELECT s_suppkey, list({{'word': word, 'n': n}} ORDER BY pos) AS o FROM u JOIN c USING (word) GROUP BY s_suppkey),
+r AS (SELECT a.s_suppkey, w, list_sort(flatten(list_transform(range(1, coalesce(len(o), 0) + 1), lambda i: list_transform(range(1, least(3, len(o) - i + 1) + 1), lambda k:
+    {{'n': list_min(list_transform(o[i:i + k - 1], lambda x: x.n)), 'k': -k, 'pos': i, 'words': list_transform(o[i:i + k - 1], lambda x: x.word)}})))) AS r FROM a LEFT JOIN o USING (s_suppkey))"""
 
 
-@query(f"{_WORDS_SQL}, c AS (SELECT s_suppkey, list_filter({_TRIES}, lambda x: length(x) BETWEEN 4 AND 40) AS l FROM b), e AS (SELECT s_suppkey, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS l FROM c) SELECT s_suppkey, array_to_string(l, '|') AS labels FROM e")
+@query(f"{_RUNS_SQL}, l AS (SELECT s_suppkey, list_filter(list_concat(flatten(list_transform(coalesce(r, []), lambda x: [array_to_string(x.words, ''), CASE WHEN len(x.words) = 2 THEN array_to_string(x.words, '-') END])), [array_to_string(w, '')]), lambda x: length(x) BETWEEN 4 AND 40) AS l FROM r), e AS (SELECT s_suppkey, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS l FROM l) SELECT s_suppkey, array_to_string(l, '|') AS labels FROM e")
 def txt_labels(spark, sf_dir):
-    """TXT-25: labels worth trying for a domain."""
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(nm.domain_labels(F.expr(_FIRM)), "|").alias("labels"))
+    """TXT-25: labels worth trying for a domain, the most specific first."""
+    own = nm.counted_tokens(table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_FIRM).alias("name")), "s_suppkey", "name")
+    return own.select("s_suppkey", F.array_join(nm.domain_labels(F.col("words"), F.col("own")), "|").alias("labels"))
 
 
-@query(f"{_WORDS_SQL}, c AS (SELECT s_suppkey, list_filter([array_to_string(w, ' ') || ':strong', CASE WHEN len(k) > 1 THEN array_to_string(k[1:2], ' ') || ':strong' END, CASE WHEN len(d) > 1 THEN array_to_string(d[1:2], ' ') || ':strong' END, coalesce(d[1], k[1], w[1]) || CASE WHEN len(w) = 1 THEN ':strong' ELSE ':weak' END], lambda x: length(regexp_replace(x, ':.*', '')) >= 4) AS l FROM b), e AS (SELECT s_suppkey, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM c) SELECT s_suppkey, array_to_string(l, '|') AS needles FROM e")
+@query(f"{_RUNS_SQL}, l AS (SELECT s_suppkey, list_filter([array_to_string(w, ' ') || ':strong', array_to_string(list_filter(r, lambda x: len(x.words) > 1)[1].words, ' ') || ':strong', array_to_string(list_filter(r, lambda x: len(x.words) = 1)[1].words, ' ') || CASE WHEN len(w) = 1 THEN ':strong' ELSE ':weak' END], lambda x: length(regexp_replace(x, ':.*', '')) >= 4) AS l FROM r), e AS (SELECT s_suppkey, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM l) SELECT s_suppkey, array_to_string(l, '|') AS needles FROM e")
 def txt_needles(spark, sf_dir):
     """TXT-26: what a page must print to be the firm's."""
-    n = F.transform(nm.needles(F.expr(_FIRM)), lambda x: F.concat_ws(":", x["needle"], x["strength"]))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(n, "|").alias("needles"))
+    own = nm.counted_tokens(table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_FIRM).alias("name")), "s_suppkey", "name")
+    n = F.transform(nm.needles(F.col("words"), F.col("own")), lambda x: F.concat_ws(":", x["needle"], x["strength"]))
+    return own.select("s_suppkey", F.array_join(n, "|").alias("needles"))
 
 
 _TYPED = pick("event_id", "relevent", "Less-Relevant", "rejected", "unknwon", "adjacent", "", "nonsense", "adjacnt")
@@ -236,16 +263,16 @@ _HEAD = pick("event_id", "Job ID", "﻿Title ", "has-body?", "Relevance (1-4)",
 _SYN = {"job id": "job_id", "relevance 1 4": "relevance"}
 _HEAD_N = f"trim(regexp_replace(lower(replace({_HEAD}, '﻿', '')), '[^a-z0-9]+', ' ', 'g'))"
 _MARKUP = pick("event_id", "https:\\u002F\\u002Fboards.example.net\\u002Fx", '{"u":"https:\\/\\/a.example\\/b"}', "a?x=1\\u0026y=2&amp;z=3", "plain")
-_UNESC = _MARKUP
-for _a, _b in (("\\u002F", "/"), ("\\u002f", "/"), ("\\/", "/"), ("\\u0026", "&"), ("\\u003D", "="), ("&amp;", "&"), ("&quot;", '"'), ("&#x2F;", "/")):
-    _UNESC = f"replace({_UNESC}, '{_a}', '{_b}')"
+_UNESC = f"""replace(replace(replace(replace(replace(coalesce(json_extract_string('{{"v":"' || regexp_replace({_MARKUP}, '([^\\\\])"', '\\1\\\\"', 'g') || '"}}', '$.v'), {_MARKUP}), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&')"""
 _LAND = pick("event_id", "Deutschland", " sweden ", "SE", "United Kingdom", "Atlantis", "fr")
 _LANDS = {"deutschland": "DE", "germany": "DE", "sweden": "SE", "sverige": "SE", "united kingdom": "GB", "uk": "GB"}
 _SPOT = pick("event_id", "Stockholm, Sweden", "Singapore D07 Bugis", "Genève (GE)", "Malmö", "stockholm")
 _SPOTS = {"stockholm sweden": "stockholm", "geneva ge": "geneve ge"}
+_SPOT_SQL = f"CASE {' '.join(f'WHEN trim({sql_fold(_SPOT)}) = {a!r} THEN {b!r}' for a, b in _SPOTS.items())} ELSE trim({sql_fold(_SPOT)}) END"
+_PLACE_SQL = f"(SELECT CASE WHEN k > 1 THEN array_to_string(w[1:k - 1], ' ') ELSE array_to_string(w, ' ') END FROM (SELECT w, list_position(list_transform(w, lambda x: regexp_matches(x, '[0-9]')), true) AS k FROM (SELECT string_split({_SPOT_SQL}, ' ') AS w)))"
 
 
-@query(f"SELECT event_id, CASE {_HEAD_N} {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in _SYN.items())} ELSE replace({_HEAD_N}, ' ', '_') END AS header, {_UNESC} AS unescaped, CASE {' '.join(f'WHEN lower(trim({_LAND})) = {a!r} THEN {b!r}' for a, b in _LANDS.items())} WHEN regexp_matches(lower(trim({_LAND})), '^[a-z]{{2}}$') THEN upper(trim({_LAND})) END AS country, regexp_replace(CASE {' '.join(f'WHEN trim({sql_fold(_SPOT)}) = {a!r} THEN {b!r}' for a, b in _SPOTS.items())} ELSE trim({sql_fold(_SPOT)}) END, '^([a-z]+) d[0-9]{{2}} .+$', '\\1') AS place, coalesce(CASE WHEN event_id % 3 = 0 THEN concat('d', event_id, '.example') END, '~' || lower(coalesce(CASE WHEN event_id % 2 = 0 THEN 'ACME Labs' END, 'unknown'))) AS firm, ' ' || trim(regexp_replace(regexp_replace(lower({_FIRM.replace('s_suppkey', 'event_id')}), '[./]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS fragment, contains(' data platform team ', ' ' || event_type || ' ') OR event_id % 2 = 0 AS covered FROM events")
+@query(f"SELECT event_id, CASE {_HEAD_N} {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in _SYN.items())} ELSE replace({_HEAD_N}, ' ', '_') END AS header, {_UNESC} AS unescaped, CASE {' '.join(f'WHEN lower(trim({_LAND})) = {a!r} THEN {b!r}' for a, b in _LANDS.items())} WHEN regexp_matches(lower(trim({_LAND})), '^[a-z]{{2}}$') THEN upper(trim({_LAND})) END AS country, {_PLACE_SQL} AS place, coalesce(CASE WHEN event_id % 3 = 0 THEN concat('d', event_id, '.example') END, '~' || lower(coalesce(CASE WHEN event_id % 2 = 0 THEN 'ACME Labs' END, 'unknown'))) AS firm, ' ' || trim(regexp_replace(regexp_replace(lower({_FIRM.replace('s_suppkey', 'event_id')}), '[./]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) || ' ' AS fragment, contains(' data platform team ', ' ' || event_type || ' ') OR event_id % 2 = 0 AS covered FROM events")
 def txt_small(spark, sf_dir):
     """TXT-04, TXT-16, TXT-23, TXT-24, TXT-27, TXT-30, TXT-32."""
     e = table(spark, sf_dir, "events")

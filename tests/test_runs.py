@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from jobstrata.functions import runs
 from jobstrata.operators import dedup, publish
 
+from .test_advice import clusters
+
 
 def texts(n, seed):
     dice = random.Random(seed)
@@ -71,6 +73,19 @@ def test_crowded_blocks_are_split_and_lose_no_pair(spark, cards, crowd, monkeypa
     assert set(got) == want and len(got) == len(want) > 20
 
 
+@pytest.mark.parametrize(("stars", "rounds"), [(1000, 0), (2, 1), (2, 9)])
+def test_classes_are_those_of_all_pairs(spark, cards, stars, rounds, monkeypatch):
+    monkeypatch.setattr(dedup, "STARS", stars)
+    monkeypatch.setattr(dedup, "STAR_ROUNDS", rounds)
+    rows, schema = cards
+    rows = rows + [(200 + i, "k", rows[i][2]) for i in range(0, 60, 7)]
+    long = [r for r in rows if r[2] and len(r[2]) >= 10]
+    pairs = [(a[0], b[0]) for a, b in combinations(long, 2) if a[1] == b[1] and SequenceMatcher(None, a[2], b[2], autojunk=False).ratio() >= 0.93]
+    root = clusters([r[0] for r in rows], pairs)
+    got = {r["id"]: (r["component"], r["members"]) for r in dedup.near_classes(spark.createDataFrame(rows, schema).repartition(3), ["k"], "text", shortest=10).collect()}
+    assert got == {i: (c, list(root.values()).count(c)) for i, c in root.items()}
+
+
 def test_kept_scores_are_not_computed_again(spark, cards, tmp_path, monkeypatch):
     rows, schema = cards
     df, store = spark.createDataFrame(rows, schema), str(tmp_path / "scores")
