@@ -1,16 +1,20 @@
 """N-best segmentation of texts into the pieces of a SentencePiece model, and decoding.
 
-A text is a lattice: white space is written as U+2581, a piece is an edge, a path is a segmentation and its score the sum of its
-pieces' scores. Viterbi runs forward and leaves the best score up to each place; A-star runs backward with those scores as
-exact heuristics, so the paths that reach the start come out best first. A character that no piece covers is its UTF-8 bytes' pieces.
+The first segmentation of a text is the model's own, as its library encodes it; the others are the best of the lattice without it. In the
+lattice white space is written as U+2581, a piece is an edge, a path is a segmentation and its score the sum of its pieces' scores.
+Viterbi runs forward and leaves the best score up to each place; A-star runs backward with those scores as exact heuristics, so
+the paths that reach the start come out best first. A character that no piece covers is its UTF-8 bytes' pieces.
+
+A unigram model's own encoding is the lattice's best path. A merge model's is not in general: it merges by rank, which is no sum over
+pieces; there the scores only order the alternatives.
 
 Between two characters that are next to each other in no piece every path has a cut. A text falls into units there; each
 distinct unit is solved once, and the N best of a text are merged from the N - 1 units whose second best costs least.
-A process keeps the units met last, so memory is bounded.
+A process keeps the units met last, so memory is bounded; texts of any length are read whole.
 
 Null and empty texts have no pieces and one segmentation, the empty one, of score 0. Ties: the segmentation whose last differing piece is
 longer comes first. A literal U+2581 decodes to a space, as in the library, so such texts don't round-trip. Repeated rows
-give repeated rows; other columns are ignored.
+give repeated rows; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,6 +73,7 @@ class Segmenter:
         #: whether no piece goes on over the beginning of a chunk; else a text is one chunk
         self.cut = not any(pair[1] in (SPACE, "\n") and pair[0] not in (SPACE, "\n") for pair in self.inside)
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - PENALTY
+        self.scores = {i: score for i, score in self.pieces.values()}
         self.limit, self.units, self.chunks, self.options = limit, {}, {}, {}
         #: character -> score (None: the characters so far are no piece), packed id and the characters that may follow, to any depth
         self.trie: dict = {}
@@ -192,17 +197,27 @@ class Segmenter:
         return [text[a:b] for a, b in pairwise(cuts)]
 
     def _solve(self, chunks: list[str]) -> None:
-        """Of each chunk (white space and what follows): packed ids, score, what the second best costs more, how many pieces the library makes
-        of it, and whether they are the same."""
-        known = self.chunks
+        """Of each chunk (white space and what follows): packed ids and score of the lattice's best, what its second best costs more, packed ids and
+        score of the library's own encoding."""
+        known, scores = self.chunks, self.scores
         # the library puts a space before what it encodes: the chunk's own first one, or one of its own, whose piece then goes
         plain = self.model.encode([c.removeprefix(SPACE).replace(SPACE, " ") for c in chunks], num_threads=1)
         for c, ids in zip(chunks, plain, strict=True):
             own = [self.solved(u) for u in self.split(c)]
             packed = own[0][0] if len(own) == 1 else b"".join([x[0] for x in own])
             ids = [self.pieces[SPACE][0]] if c == SPACE else ids if c[0] == SPACE else ids[1:]
-            same = 4 * len(ids) == len(packed) and pack(f"<{len(ids)}I", *ids) == packed
-            known[c] = packed, sum([x[1] for x in own]), min([x[2] for x in own]), len(ids), same
+            said, best = pack(f"<{len(ids)}I", *ids), sum([x[1] for x in own])
+            known[c] = packed, best, min([x[2] for x in own]), said, best if said == packed else self._scored(ids)
+
+    def _scored(self, ids: list[int]) -> float:
+        """The score of a path: bytes' pieces count once for each character that they spell."""
+        total, spelled = 0.0, b""
+        for i in ids:
+            if self.kinds[i]:
+                total += self.scores[i]
+            else:
+                spelled += self.text[i]
+        return total + self.unknown * len(spelled.decode("utf-8", "replace"))
 
     def _chunks(self, text: str) -> tuple[list[str], list[tuple]]:
         whole = SPACE + text.replace(" ", SPACE)
@@ -234,14 +249,15 @@ class Segmenter:
         return found
 
     def encode(self, text: str | None) -> tuple[bytes, float, float]:
-        """Packed ids and score of the best segmentation, and what the second best costs more."""
+        """Packed ids and score of the model's own segmentation, and by how much the lattice's best exceeds it."""
         if not text:
-            return b"", 0.0, float("inf")
+            return b"", 0.0, 0.0
         _, own = self._chunks(text)
-        return b"".join([x[0] for x in own]), float(sum([x[1] for x in own])), float(min([x[2] for x in own]))
+        score = float(sum([x[4] for x in own]))
+        return b"".join([x[3] for x in own]), score, max(0.0, float(sum([x[1] for x in own])) - score)
 
     def packed(self, text: str | None, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a whole text, best first: scores and packed ids.
+        """The n best paths of a whole text's lattice, best first: scores and packed ids.
 
         Only the n - 1 chunks whose second best costs least can differ from their best.
         """
@@ -259,13 +275,14 @@ class Segmenter:
             out.append((total - cost, b"".join(chain.from_iterable(zip(whole, (*choice, b""), strict=True)))))
         return out
 
-    def against_library(self, text: str | None, n: int) -> tuple[list[tuple[float, bytes]], int, bool]:
-        """As `packed`, then how many pieces the library makes of the text, and whether they are those of the best segmentation: chunk by
-        chunk, as no piece crosses from one to the next."""
+    def segmentations(self, text: str | None, n: int) -> tuple[list[tuple[float, bytes]], float]:
+        """Scores and packed ids of the model's own segmentation and of the n - 1 best others, and the score of the lattice's best."""
         if not text:
-            return [(0.0, b"")], 0, True
+            return [(0.0, b"")], 0.0
         names, own = self._chunks(text)
-        return self._best_of(names, own, n), sum([x[3] for x in own]), all([x[4] for x in own])
+        first = b"".join([x[3] for x in own])
+        best = self._best_of(names, own, n)
+        return [(float(sum([x[4] for x in own])), first), *[x for x in best if x[1] != first][: n - 1]], best[0][0]
 
     def nbest(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         return [(s, np.frombuffer(x, "<u4").tolist()) for s, x in self.packed(text, n)]
@@ -288,7 +305,7 @@ def segmenter(path: str, limit: int = 800_000) -> Segmenter:
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids (the best segmentation), score, margin (what the second best costs more; null if there is none) and decoded."""
+    """doc_id, ids (the model's own segmentation), score, and gap: by how much the lattice's best exceeds it."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segmenter(model)
@@ -297,9 +314,9 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 some = batch.slice(at, 200)
                 found = [known.encode(t) for t in some["text"].to_pylist()]
                 ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x[0]) // 4 for x in found]), pa.int32()), pa.array(np.frombuffer(b"".join(x[0] for x in found), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([some["doc_id"], ids, pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] if x[2] < np.inf else None for x in found], pa.float64())], ["doc_id", "ids", "score", "margin"])
+                yield pa.RecordBatch.from_arrays([some["doc_id"], ids, pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], ["doc_id", "ids", "score", "gap"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids array<int>, score double, margin double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids array<int>, score double, gap double")
 
 
 def decoded(tokens: DataFrame, model: str) -> DataFrame:
@@ -314,33 +331,34 @@ def decoded(tokens: DataFrame, model: str) -> DataFrame:
 
 
 def nbest(docs: DataFrame, model: str, n: int = _BEST) -> DataFrame:
-    """doc_id, rank (from 1), score and ids of the n best segmentations of each text."""
+    """doc_id, rank (from 1), score and ids of each text's segmentations: the model's own, then the n - 1 best others."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segmenter(model)
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found = known.nbest(text, n)
+                found = [(s, np.frombuffer(x, "<u4").tolist()) for s, x in known.segmentations(text, n)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array(range(1, len(found) + 1), pa.int32()), pa.array([s for s, _ in found], pa.float64()), pa.array([x for _, x in found], pa.list_(pa.int32()))], ["doc_id", "rank", "score", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, rank int, score double, ids array<int>")
 
 
 def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) -> DataFrame:
-    """Of each text: n_pieces, ids_crc32 (little-endian 32-bit ids), best_score, n_best and last_score (of n at most), round_trip, n_library
-    (pieces of the library's own encoding) and as_library (whether the best segmentation is that one)."""
+    """Of each text: n_pieces, ids_crc32 (little-endian 32-bit ids) and score of the model's own segmentation, n_best (segmentations, of n at most) and
+    last_score (that of the last), best_score (of the lattice's best), is_best (whether the model's own is that good) and round_trip."""
+    fields = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "n_best": pa.int32(), "last_score": pa.float64(), "best_score": pa.float64(), "is_best": pa.bool_(), "round_trip": pa.bool_()}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = segmenter(model, limit)
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_(), pa.int64(), pa.bool_())
         for whole in batches:
             for at in range(0, whole.num_rows, 200):  # texts become Python objects a few at a time
                 batch, out = whole.slice(at, 200), []
                 for text in batch["text"].to_pylist():
-                    some, pieces, same = known.against_library(text, n)
+                    some, best = known.segmentations(text, n)
                     score, packed = some[0]
-                    out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or ""), pieces, same))
-                columns = list(zip(*out, strict=True)) or [()] * len(types)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip", "n_library", "as_library"])
+                    out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], best, score >= best, known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or "")))
+                columns = list(zip(*out, strict=True)) or [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)]], ["doc_id", *fields])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_best int, last_score double, round_trip boolean, n_library long, as_library boolean")
+    types = "n_pieces long, ids_crc32 long, score double, n_best int, last_score double, best_score double, is_best boolean, round_trip boolean"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, f"doc_id long, {types}")

@@ -70,14 +70,15 @@ def test_rows_with_one_id_are_one_document(spark):
 
 
 def test_what_the_library_makes_of_a_text(spark, sf):
-    """Counts of the library's own encoding, and whether the best segmentation is it, for whole texts."""
+    """Counts of the library's own encoding, and whether it is as good as the lattice's best, for whole texts."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     rows, df = documents(spark, sf, ["a  b", "\n\n x", "  lead", "tab\tx", "a\n b", "trail  ", "the cat", "of the"])
-    got = {r["doc_id"]: (r["n_library"], r["as_library"]) for r in pieces.digest(df, path).collect()}
+    got = {r["doc_id"]: (r["n_pieces"], r["is_best"]) for r in pieces.digest(df, path).collect()}
     own = pieces.Segmenter(path)
-    assert got == {d: (len(ids := library.encode(t or "")), ids == own.nbest(t, 1)[0][1]) for d, t in rows}
-    assert any(same for _, same in got.values())
+    best = {d: (len(ids := library.encode(t or "")), ids == own.nbest(t, 1)[0][1]) for d, t in rows}
+    assert {d: n for d, (n, _) in got.items()} == {d: n for d, (n, _) in best.items()}
+    assert all(got[d][1] for d, (_, same) in best.items() if same) and any(same for _, same in best.values()) and not all(same for _, same in got.values())
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])

@@ -134,10 +134,29 @@ def test_n_best_are_the_best(segmenter):
         assert all(segmenter.decode(ids) == text == library.decode(ids) for _, ids in got)
 
 
+def test_the_model_s_own_comes_first_then_the_best_others(segmenter):
+    pick, library = random.Random(2), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for k in range(300):
+        text = "".join(pick.choice(["ab ", "e.,", "\n", "the ", "é日", "  1", "in", "ation"]) for _ in range(pick.randint(0, 12)))
+        own, best = segmenter.segmentations(text, 4)
+        assert np.frombuffer(own[0][1], "<u4").tolist() == library.encode(text)
+        lattice = [x for x in segmenter.packed(text, 5) if x[1] != own[0][1]][:3]
+        assert [round(x[0], 6) for x in own[1:]] == [round(x[0], 6) for x in lattice] and len({x[1] for x in own}) == len(own)
+        if text:  # its score is that of its path in the lattice
+            ends = segmenter.edges(pieces.SPACE + text.replace(" ", pieces.SPACE))
+            paths = {0: [(0.0, b"")]}
+            for j in range(1, len(ends)):
+                whole = own[0][1]
+                paths[j] = [(s + score, t + np.array(ids, "<u4").tobytes()) for i, score, ids in ends[j] for s, t in paths[i] if whole.startswith(t + np.array(ids, "<u4").tobytes())]
+            assert [round(s, 6) for s, t in paths[len(ends) - 1] if t == own[0][1]] == [round(own[0][0], 6)] and round(best, 6) >= round(own[0][0], 6)
+
+
 def test_segmentation_of_the_table(spark, sf):
     rows, df = documents(spark, sf)
     got = {r["doc_id"]: r for r in pieces.digest(df, PIECES).collect()}
     assert all(got[d]["round_trip"] for d, _ in rows)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {d: r["ids_crc32"] for d, r in got.items()} == {d: zlib.crc32(np.array(library.encode(t or ""), "<u4").tobytes()) for d, t in rows}
     assert got[-1]["n_pieces"] == 0
     ids = pieces.encoded(df, PIECES)
     assert {r["doc_id"]: zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in ids.collect()} == {d: r["ids_crc32"] for d, r in got.items()}
