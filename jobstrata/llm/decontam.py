@@ -22,8 +22,8 @@ from .common import stored
 WIDTH = 10
 #: Windows of the benchmark whose hashes may be broadcast (some 100 bytes each in the hash table); more are joined by a shuffle.
 BROADCAST_WINDOWS = 2_000_000
-#: Up to so many bytes their words are broadcast with them; beyond, only what hits is joined with these.
-BROADCAST_BYTES = 64 << 20
+#: Documents with hits whose keys (16 bytes each) may be broadcast.
+BROADCAST_KEYS = 500_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,29 +62,28 @@ def _keyed(docs: DataFrame) -> list[Column]:
 def hits(docs: DataFrame, windows: DataFrame, width: int = WIDTH, limit: int = BROADCAST_WINDOWS) -> DataFrame:
     """__id, __text_hash, at (0-based word), width and number of each occurrence of a window, verified on the words.
 
-    Windows are streamed from the scan of docs into a hash join. The benchmark's are broadcast if they are `limit` at most: with their
-    words if these are small, so that a hit is verified where it is found; else by hash alone. More are joined by a shuffle. In these
-    two cases the documents that hit are read again for the words of their hits, which are joined with those of the windows.
+    Hashes of windows are streamed from the scan of docs into a hash join with those of the benchmark's, which are broadcast if they are
+    `limit` at most, else joined by a shuffle. Only the documents that hit are read again: what tells them apart is broadcast if they are
+    `BROADCAST_KEYS` at most, so that no other text is shuffled, and the words of their hits are joined with those of the windows.
     """
-    mass = F.octet_length(F.array_join("gram", " ")) + 16 * F.size("gram") + 100
-    size, lengths, total = windows.agg(F.count(F.lit(1)), F.collect_set("width"), F.coalesce(F.sum(mass), F.lit(0))).first()
+    size, lengths = windows.agg(F.count(F.lit(1)), F.collect_set("width")).first()
+    key = ["__id", "__text_hash"]
     base = docs.select(*_keyed(docs), normal_words(F.col("text")).alias("w"))
-    w, key = F.col("w"), ["__id", "__text_hash"]
+    w = F.col("w")
     parts = []
     for k in sorted(lengths) or [width]:
         starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0)))
         parts.append(F.transform(starts, _window_at(w, k)))
-    spread = F.inline(F.concat(*parts))
-    same = F.slice(F.col("w"), F.col("at") + 1, F.col("width")) == F.col("gram")
-    if size <= limit and total <= BROADCAST_BYTES:
-        own = F.broadcast(windows.withColumnsRenamed({"h": "__h", "width": "__width"}))
-        found = base.select(*key, "w", spread).join(own, (F.col("h") == F.col("__h")) & (F.col("width") == F.col("__width")) & same)
-        return found.select(*key, "at", "width", "number")
     hashes = windows.select("h", "width").distinct()
-    maybe = stored(base.select(*key, spread).join(F.broadcast(hashes) if size <= limit else hashes, ["h", "width"]), "maybe")
+    spread = base.select(*key, F.inline(F.concat(*parts)))
+    maybe = stored(spread.join(F.broadcast(hashes) if size <= limit else hashes, ["h", "width"]), "maybe")
     each = maybe.groupBy(*key).agg(F.collect_set(F.struct("h", "at", "width")).alias("__maybe")).withColumnsRenamed({c: f"{c}2" for c in key})
     alike = F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__text_hash") == F.col("__text_hash2"))
-    told = base.join(each, alike).select(*key, F.explode(F.transform("__maybe", lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["width"].alias("width"), F.slice("w", x["at"] + 1, x["width"]).alias("gram")))).alias("x"))
+    ids = stored(maybe.select(*[F.col(c).alias(f"{c}2") for c in key]).distinct(), "ids")
+    texts = docs.select(*_keyed(docs), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, alike, "left_semi")
+    own = texts.dropDuplicates(key).select(*key, normal_words(F.col("text")).alias("w")).join(each, alike)
+    gram = lambda x: F.struct(x["h"].alias("h"), x["at"].alias("at"), x["width"].alias("width"), F.slice("w", x["at"] + 1, x["width"]).alias("gram"))
+    told = own.select(*key, F.explode(F.transform("__maybe", gram)).alias("x"))
     return told.select(*key, "x.*").join(windows, ["h", "width", "gram"]).select(*key, "at", "width", "number")
 
 

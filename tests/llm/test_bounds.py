@@ -72,7 +72,7 @@ def test_frequent_pages_beyond_the_bound(spark, monkeypatch):
 
 @pytest.mark.parametrize("limit", [decontam.BROADCAST_WINDOWS, 0])
 def test_windows_by_hash_alone(spark, sf, limit, monkeypatch):
-    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", 0)
     rows, df = documents(spark, sf)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()] + [(1000, "the of"), (1001, None), (1002, "The, OF"), (None, "!!")]
     bench = spark.createDataFrame(items, "item_id long, text string")
