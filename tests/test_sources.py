@@ -36,7 +36,17 @@ def test_sitemaps_are_walked(spark):
 @pytest.mark.parametrize(
     ("name", "body", "want"),
     [
-        ("lever", '{"jobs":[{"id":"1","text":"T","categories":{"location":"Oslo","team":"R"}},{"id":"2"}]}', [("1", "T", "Oslo")]),
+        ("lever", '[{"id":"1","text":"T","categories":{"location":"Oslo","team":"R"}},{"id":"2"}]', [("1", "T", "Oslo")]),
+        ("lever_eu", '[{"id":"1","text":"T"}]', [("1", "T", None)]),
+        ("lever", '{"jobs":[{"id":"1","text":"T"}]}', []),
+        ("greenhouse", '{"jobs":[{"id":8,"title":"T","location":{"name":"Oslo"},"departments":[{"name":"A"},{"name":"B"}]}]}', [("8", "T", "Oslo")]),
+        ("ashby", '{"jobs":[{"jobId":"x","title":"T","location":"Oslo"}]}', [("x", "T", "Oslo")]),
+        ("recruitee", '{"offers":[{"id":3,"position":"T","city":"Oslo","country":"Norway"},{"id":4,"title":"U","location":"Bergen"}]}', [("3", "T", "Oslo, Norway"), ("4", "U", "Bergen")]),
+        ("workable", '{"jobs":[{"shortcode":"s","title":"T","location":{"city":"Oslo","country":"Norway"}},{"id":5,"title":"U","location":"Bergen"},{"id":6,"title":"V","city":"Voss"}]}', [("s", "T", "Oslo, Norway"), ("5", "U", "Bergen"), ("6", "V", "Voss")]),
+        ("bamboohr", '{"result":[{"id":"4","jobOpeningName":"T","location":{"city":"Oslo"}},{"id":"5","jobOpeningName":"U","atsLocation":"Bergen"}]}', [("4", "T", "Oslo"), ("5", "U", "Bergen")]),
+        ("breezy", '[{"friendly_id":"f","name":"T","location":{"city":"Oslo","country":{"name":"Norway"}}},{"id":"g","name":"U","location":null}]', [("f", "T", "Oslo, Norway"), ("g", "U", None)]),
+        ("personio", '[{"id":7,"name":"T","office":"Oslo"}]', [("7", "T", "Oslo")]),
+        ("breezy", '[]', []),
         ("smartrecruiters", '{"content":[{"id":"9","name":"N","location":{"city":"Oslo","country":"no"}}]}', [("9", "N", "Oslo, NO")]),
         ("rss", "<rss><item><title>T</title><guid>g</guid></item><item><title></title></item></rss>", [("g", "T", None)]),
         ("jsonld", page({"@type": "JobPosting", "title": "T", "identifier": "7"}), [("7", "T", None)]),
@@ -49,6 +59,18 @@ def test_readers(spark, name, body, want):
     assert [(r["job_id"], r["title"], r["location"]) for r in registry.read(name, df).collect()] == want
 
 
+def test_an_unreadable_payload_is_not_an_empty_board(spark):
+    def told(name, *bodies):
+        df = spark.createDataFrame([(str(i), b) for i, b in enumerate(bodies)], "token string, body string")
+        return [(r["outcome"], r["n"]) for r in registry.outcomes(name, df).orderBy("token").collect()]
+
+    bad, none = ("unreadable", None), ("empty", 0)
+    assert told("lever", '[{"id":"1"}]', "[]", '{"jobs":[]}', "<html>gone</html>", None, "") == [("read", 1), none, bad, bad, bad, bad]
+    assert told("greenhouse", '{"jobs":[]}', "[]", '{"jobs":null}', '{"jobs":[{},{}]}', '{"jobs":[') == [none, bad, bad, ("read", 2), bad]
+    assert told("rss", "<rss><channel></channel></rss>", "<rss><item/></rss>", "not found") == [none, ("read", 1), bad]
+    assert told("table", "<table><tr><td>T</td></tr></table>", "<html></html>", "503") == [("read", 1), none, bad]
+
+
 def test_a_name_is_registered_once():
     with pytest.raises(ValueError):
         registry.register("lever", registry.Reader("rss"))
