@@ -97,6 +97,20 @@ def txt_every_phrase(spark, sf_dir):
 _HOST = "regexp_replace(regexp_replace(regexp_replace(string_split(string_split(string_split(regexp_replace(lower(trim(url)), '^[a-z]+:?//', ''), '/')[1], '?')[1], '#')[1], '^.*@', ''), ':[0-9]*$', ''), '^www[.]', '')"
 
 
+_SHINGLES = f"SELECT DISTINCT array_to_string(w[i:i + 2], ' ') AS phrase FROM (SELECT string_split(trim({sql_fold('text')}), ' ') AS w FROM benchmark), unnest(range(1, len(w) - 1)) AS u(i)"
+
+
+@query(f"WITH p AS ({_SHINGLES}), d AS (SELECT doc_id, {sql_fold('text')} AS f FROM documents) SELECT doc_id, count(*) AS n_phrases, min(phrase) AS first_phrase FROM d JOIN p ON contains(f, ' ' || phrase || ' ') GROUP BY doc_id")
+def txt_indexed(spark, sf_dir):
+    """TXT-06 over a large vocabulary that is a table: all runs of three words of the benchmark, filed under their rarest word."""
+    words = F.split(F.trim(tx.fold(F.col("text"))), " ")
+    own = table(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") > 2)
+    runs = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("phrase")).distinct()
+    terms = runs.select(F.lit("benchmark").alias("dimension"), F.lit("run").alias("value"), F.lit(0).alias("rung"), F.lit(0).alias("position"), "phrase")
+    found = phrases.hits(table(spark, sf_dir, "documents").select("doc_id", tx.fold(F.col("text")).alias("f")), ["doc_id"], "f", terms)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_phrases"), F.min("phrase").alias("first_phrase"))
+
+
 @query(rf"SELECT page_id, CASE WHEN contains({_HOST}, '.') THEN {_HOST} END AS host, string_split(regexp_replace({_HOST}, '[.]((co|com|org|net|ac|gov)[.][a-z]{{2}}|[a-z0-9-]+)$', ''), '.')[-1] AS label FROM pages")
 def txt_host(spark, sf_dir):
     h = tx.host(F.col("url"))
