@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import monitor, sampling
+from ..operators import buckets, monitor, sampling
 from ..operators.tables import new_path
 from ..streaming import feeds
 from .catalogue import query, table
@@ -144,3 +144,20 @@ def str_feed_stream(spark, sf_dir):
     feeds.run_feed(spark, f"{root}/in", f"{root}/log", f"{root}/offsets")
     state = feeds.state_of(spark.read.parquet(f"{root}/log").drop("batch"))
     return state.withColumn("removed_at", F.col("removed_at").cast("timestamp_ntz"))
+
+
+@query(_FEED)
+def str_feed_state(spark, sf_dir):
+    """STR-01 to 05, SNK-13, SNK-27: the same feed as state: changes of postings, number of the batch and cursor are committed as one version of a
+    table in buckets. Files, state and table are written when the query is built."""
+    root, provider = new_path(spark, "feed"), "spark.sql.streaming.stateStore.providerClass"
+    e = table(spark, sf_dir, "events")
+    ads = e.select((F.col("event_id") % 500).alias("id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("removed"), F.concat("event_type", F.floor("value").cast("int").cast("string")).alias("title"))
+    ads.repartition(4).write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{root}/in")
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        feeds.run_state(spark, f"{root}/in", f"{root}/table", f"{root}/offsets", keep_days=36_500)
+    finally:
+        spark.conf.set(provider, before)
+    return buckets.read(spark, f"{root}/table").select("id", "title", F.col("removed_at").cast("timestamp_ntz").alias("removed_at"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as nm
 from ..functions import runs
 from ..functions import text as tx
-from ..operators import cascade, dedup
+from ..operators import cascade, dedup, versions
 from ..operators import posting_rules as pr
+from ..operators.tables import stored
 from .catalogue import query, table
 from .texts import sql_fold
 
@@ -151,13 +154,26 @@ def cls_judged(spark, sf_dir):
 _TAG_STEPS = (pr.ROLE_CLASS, pr.TOOLS, pr.CONTRACT)
 
 
-@query(f"WITH p AS ({cascade.decided_sql(_BASE_SQL, pr.FIRST)}), g AS (SELECT id, CASE WHEN length(body) > 200 THEN 'strong' ELSE 'weak' END AS confidence, * EXCLUDE (id) FROM p) SELECT id, 'role_class' AS dimension, role_class AS value, confidence, role_class_evidence AS evidence FROM g UNION ALL SELECT id, 'contract', contract, confidence, contract_evidence FROM g UNION ALL SELECT id, 'language', unnest(CASE WHEN len(language) > 0 THEN language ELSE ['unknown'] END), confidence, NULL FROM g")
+_TAGS_SQL = f"WITH p AS ({cascade.decided_sql(_BASE_SQL, pr.FIRST)}), g AS (SELECT id, CASE WHEN length(body) > 200 THEN 'strong' ELSE 'weak' END AS confidence, * EXCLUDE (id) FROM p) SELECT id, 'role_class' AS dimension, role_class AS value, confidence, role_class_evidence AS evidence FROM g UNION ALL SELECT id, 'contract', contract, confidence, contract_evidence FROM g UNION ALL SELECT id, 'language', unnest(CASE WHEN len(language) > 0 THEN language ELSE ['unknown'] END), confidence, NULL FROM g"
+
+
+@query(_TAGS_SQL)
 def cls_posting_tags(spark, sf_dir):
     """CLS-01: decided postings as tags, a row a value, in one pass."""
     out = cascade.decided(postings(spark, sf_dir), pr.FIRST)
     return cascade.tags(out, ["id"], _TAG_STEPS, F.when(F.length("body") > 200, "strong").otherwise("weak"))
 
 
+@query(_TAGS_SQL)
+def cls_retagged(spark, sf_dir):
+    """CLS-28, CLS-29, HSH-04: tags of two thirds of the postings by rules of which one ladder has changed since, brought up to date."""
+    rows, confidence = postings(spark, sf_dir), F.when(F.length("body") > 200, "strong").otherwise("weak")
+    names = [s.name for s in _TAG_STEPS]
+    older = tuple(replace(s, rules=s.rules[1:]) if s.name == pr.ROLE_CLASS.name else s for s in pr.FIRST)
+    before = versions.stamped(cascade.decided(rows.where("id % 3 <> 0"), older), ["id"], older, confidence, names)
+    return versions.retagged(rows, stored(before, "tags"), ["id"], pr.FIRST, names, confidence)[0].drop("stamp")
+
+
 @query(f"SELECT o_orderkey, array_to_string(d, '|') AS duties, CASE WHEN contains(array_to_string(d, '|'), 'tickets') AND NOT contains(array_to_string(d, '|'), 'build') THEN 'support' END AS scope FROM (SELECT o_orderkey, {_duties_sql(_DUTY, _VERBS)} AS d FROM orders)")
 def cls_scope(spark, sf_dir):
     """CLS-23, TXT-33: the duties of a posting, and whether they are support alone."""
