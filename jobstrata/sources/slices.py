@@ -159,3 +159,34 @@ def _stops(pages: DataFrame, walk: str, page: str, status: str, ids: str) -> tup
     ends = ends.select(walk, F.coalesce(F.col("e.why"), F.lit(OPEN)).alias("ended"), F.coalesce(F.col(f"e.{page}"), F.col("__last") + 1).alias("__end"))
     before = one.join(ends.select(walk, "__end"), walk).where(F.col(page) < F.col("__end")).select(walk, page, F.explode("i").alias("id"))
     return ends.select(walk, "ended"), before
+
+
+def two_hops(sites: DataFrame, pages: DataFrame, budget: int = 6) -> DataFrame:
+    """SRC-14: tier, url, vendor, why and n_fetched of each site (site, home), from captured pages (url, readable, links in order, vendor).
+
+    A: the home page, or one of the pages that it links to, or that those link to, is a known vendor's; B: none is, but one of them is
+    readable; C: none is readable, or there is no link. After the home page at most `budget` pages a site are read, unreadable ones
+    included: those that it links to first, in order, then what those link to, each once; reading ends with the first vendor's page.
+    A page that wasn't captured is unreadable; of pages captured twice a readable one with a vendor wins. Null links are none.
+
+    The frontier meets the pages by two equi-joins, of a site `budget` rows at most each; what a site's pages link to is ranked where it
+    is a few rows times the links of a page.
+    """
+    told = pages.groupBy("url").agg(F.max(F.struct(F.coalesce("readable", F.lit(False)).alias("readable"), F.col("vendor"), F.coalesce("links", F.array().cast("array<string>")).alias("links"))).alias("p")).select("url", "p.*")
+    told = told.select("url", "readable", F.when(F.col("readable"), F.col("vendor")).alias("vendor"), F.when(F.col("readable"), F.array_distinct(F.filter("links", lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>")).alias("links"))
+    home = stored(sites.select("site", F.col("home").alias("url")).dropDuplicates(["site"]).join(told, "url", "left").withColumn("readable", F.coalesce("readable", F.lit(False))), "homes")
+    go = home.where(F.col("readable") & F.col("vendor").isNull())
+    first = go.select("site", F.posexplode("links").alias("at", "url")).where(F.col("at") < budget)
+    first = stored(first.join(told, "url", "left").select("site", "url", F.col("at").alias("turn"), F.coalesce("readable", F.lit(False)).alias("readable"), "vendor", "links"), "hop")
+    # a site whose vendor was found reads nothing more; what is read on has room left by its first pages
+    state = first.groupBy("site").agg(F.count(F.lit(1)).alias("__n"), F.max(F.col("vendor").isNotNull()).alias("__hit"))
+    deeper = first.join(state.where(~F.col("__hit") & (F.col("__n") < budget)), "site").where("readable").select("site", "__n", "turn", F.posexplode("links").alias("at", "url"))
+    once = deeper.groupBy("site", "__n", "url").agg(F.min(F.struct("turn", "at")).alias("o")).join(first.select("site", "url"), ["site", "url"], "left_anti")
+    ranked = once.withColumn("__r", F.row_number().over(Window.partitionBy("site").orderBy("o", "url"))).where(F.col("__r") + F.col("__n") <= budget)
+    second = ranked.join(told, "url", "left").select("site", "url", (F.col("__n") + F.col("__r") - 1).alias("turn"), F.coalesce("readable", F.lit(False)).alias("readable"), "vendor")
+    read = first.drop("links").unionByName(second).groupBy("site").agg(F.min(F.when(F.col("vendor").isNotNull(), F.struct("turn", "url", "vendor"))).alias("hit"), F.min(F.when(F.col("readable"), F.struct("turn", "url"))).alias("ok"), F.count(F.lit(1)).alias("n"))
+    both = home.select("site", F.col("url").alias("home"), "readable", F.col("vendor").alias("own"), (F.size(F.coalesce("links", F.array().cast("array<string>"))) > 0).alias("linked")).join(read, "site", "left")
+    why = F.when(~F.col("readable"), "home unreadable").when(F.col("own").isNotNull(), "vendor on the home page").when(~F.col("linked"), "no link").when(F.col("hit").isNotNull(), "vendor").when(F.col("ok").isNotNull(), "readable page").otherwise("links unreadable")
+    tier = F.when(F.col("own").isNotNull() | F.col("hit").isNotNull(), "A").when(F.col("ok").isNotNull(), "B").otherwise("C")
+    url = F.when(F.col("own").isNotNull(), F.col("home")).otherwise(F.coalesce("hit.url", "ok.url"))
+    return both.select("site", tier.alias("tier"), url.alias("url"), F.coalesce("own", "hit.vendor").alias("vendor"), why.alias("why"), F.coalesce(F.col("hit.turn") + 1, "n", F.lit(0)).cast("long").alias("n_fetched"))

@@ -77,3 +77,20 @@ def test_parts_that_share_or_lack_keys_are_unsound(spark):
     reads = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (3, "c"), (9, "x")], "id long, part string")
     said = spark.createDataFrame([("a", 2), ("b", 1), ("c", 2), ("d", 1)], "part string, advertised long")
     assert told(slices.shares(reads, "id", "part", said), "part", "got", "shared", "sound") == [("a", 2, 0, True), ("b", 1, 1, False), ("c", 1, 1, False), ("d", 0, 0, False), ("x", 1, 0, False)]
+
+
+def test_two_hops_find_the_best_page(spark):
+    pages = [
+        ("a/", True, ["a/jobs"], None), ("a/jobs", True, ["b/board", "a/x"], None), ("b/board", True, [], "v1"),  # two hops in
+        ("c/", True, ["c/1", "c/2"], None), ("c/1", False, ["c/9"], "v9"), ("c/2", True, ["c/", None], None),  # an unreadable page has no vendor
+        ("d/", True, ["d/1"], "v2"), ("e/", False, ["a/"], "v3"), ("f/", True, [], None), ("g/", True, ["g/none"], None),
+        ("h/", True, [f"h/{i}" for i in range(9)], None), *[(f"h/{i}", True, [f"h/deep{i}"], "v4" if i == 7 else None) for i in range(9)], ("h/deep0", True, [], "v5"),
+        ("i/", True, ["i/1", "i/2"], None), ("i/1", True, [f"i/{k}" for k in range(3, 9)], None), ("i/2", True, ["i/5", "i/hit"], None), *[(f"i/{k}", True, [], "v6" if k == 6 else None) for k in range(3, 9)],
+    ]
+    df = spark.createDataFrame(pages + [("a/", False, None, None)], "url string, readable boolean, links array<string>, vendor string")
+    sites = spark.createDataFrame([(s, f"{s}/") for s in "abcdefghi"] + [("z", None)], "site string, home string")
+    got = {r["site"]: (r["tier"], r["url"], r["vendor"], r["n_fetched"]) for r in slices.two_hops(sites, df).collect()}
+    assert got == {
+        "a": ("A", "b/board", "v1", 2), "b": ("C", None, None, 0), "c": ("B", "c/2", None, 3), "d": ("A", "d/", "v2", 0), "e": ("C", None, None, 0), "f": ("C", None, None, 0),
+        "g": ("C", None, None, 1), "h": ("B", "h/0", None, 6), "i": ("A", "i/6", "v6", 6), "z": ("C", None, None, 0),
+    }
