@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import cotrain, decontam, jaccard, merkle, mixing, pieces, pii, repair, rules, substring, tokenbin, toxicity, warc
-from .common import table
+from .common import stored, table
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op5_quality_rules_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.decided(rules.ledger(table(spark, sf_dir, "documents")), "v2")
 
 
+def op5_quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policies v1 and v2 rejects, and what it alone rejects: from the ledger, stored once and read for each policy."""
+    book = stored(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    told = [rules.ablation(book, policy).withColumn("policy", F.lit(policy)) for policy in ("v1", "v2")]
+    return told[0].unionByName(told[1])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("set_id")
 
@@ -72,7 +79,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.planned(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_quality_classifier, op4_ngram_jaccard, op5_quality_rules, op5_quality_rules_v2, op6_sentencepiece, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity, op11_repair, op12_merkle, op13_mixing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_substring_dedup, op3_quality_classifier, op4_ngram_jaccard, op5_quality_rules, op5_quality_rules_v2, op5_quality_rules_ablation, op6_sentencepiece, op7_token_binary, op8_decontamination, op9_warc, op10_toxicity, op11_repair, op12_merkle, op13_mixing)}
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -207,3 +214,11 @@ ORACLES["op5_quality_rules_v2"] = (
     .replace("THEN 32 ELSE 0 END AS BIGINT)", "THEN 32 ELSE 0 END + CASE WHEN 10 * n_symbols > n_words THEN 64 ELSE 0 END AS BIGINT)")
     .replace("fail_bits & 15 = 0 AS kept, 'v1'", "fail_bits & 75 = 0 AS kept, 'v2'")
 )
+ORACLES["op5_quality_rules_ablation"] = (
+    ORACLES["op5_quality_rules_v2"].split("SELECT *, fail_bits")[0]
+    + """, x(policy, mask, rule, bit) AS (VALUES ('v1', 15, 'few_words', 1), ('v1', 15, 'repeated_words', 2), ('v1', 15, 'symbols', 4), ('v1', 15, 'long_words', 8),
+  ('v2', 75, 'few_words', 1), ('v2', 75, 'repeated_words', 2), ('v2', 75, 'symbol_share', 64), ('v2', 75, 'long_words', 8))
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER (fail_bits & mask = 0) AS n_kept, count(*) FILTER (fail_bits & bit <> 0) AS n_failed,
+  count(*) FILTER (fail_bits & mask & ~bit = 0) AS n_kept_without FROM b, x GROUP BY policy, rule
+"""
+)
