@@ -38,6 +38,8 @@ SPACE = "▁"
 PENALTY = 10.0
 _CHUNK = re.compile(f"[{SPACE}\n]+[^{SPACE}\n]*")
 _BEST = 4
+#: Units and chunks of text that a process keeps (some 230 bytes each).
+UNITS = 2_000_000
 
 
 #: Where the curve of chances by rank bends; from 30 to 1000 it hardly matters.
@@ -57,7 +59,7 @@ def _chances(scores: dict[int, float]) -> dict[int, float]:
 
 
 class Segmenter:
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = UNITS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,7 +76,10 @@ class Segmenter:
         self.cut = not any(pair[1] in (SPACE, "\n") and pair[0] not in (SPACE, "\n") for pair in self.inside)
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - PENALTY
         self.scores = {i: score for i, score in self.pieces.values()}
+        #: what was met of late, and before that: when the first are half of the limit, they take the place of the others
         self.limit, self.units, self.chunks, self.options = limit, {}, {}, {}
+        self.old_units: dict = {}
+        self.old_chunks: dict = {}
         #: character -> score (None: the characters so far are no piece), packed id and the characters that may follow, to any depth
         self.trie: dict = {}
         for p, (i, score) in self.pieces.items():
@@ -154,6 +159,10 @@ class Segmenter:
         found = self.units.get(unit)
         if found is not None:
             return found
+        found = self.old_units.get(unit)
+        if found is not None:
+            self.units[unit] = found
+            return found
         n, trie, low = len(unit), self.trie, float("-inf")
         first, second, back, last = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1), [b""] * (n + 1)
         first[0] = 0.0
@@ -222,11 +231,14 @@ class Segmenter:
     def _chunks(self, text: str) -> tuple[list[str], list[tuple]]:
         whole = SPACE + text.replace(" ", SPACE)
         names = _CHUNK.findall(whole) if self.cut else [whole]
-        if len(self.chunks) + len(self.units) > self.limit:
-            self.chunks.clear(), self.units.clear(), self.options.clear()
+        if 2 * (len(self.chunks) + len(self.units)) > self.limit:
+            self.old_chunks, self.old_units, self.chunks, self.units, self.options = self.chunks, self.units, {}, {}, {}
         new = set(names).difference(self.chunks)
         if new:
-            self._solve(list(new))
+            known = new.intersection(self.old_chunks)
+            self.chunks.update(zip(known, map(self.old_chunks.__getitem__, known), strict=True))
+            if len(known) < len(new):
+                self._solve(list(new - known))
         return names, list(map(self.chunks.__getitem__, names))
 
     @staticmethod
@@ -296,8 +308,8 @@ class Segmenter:
 _KNOWN: dict[str, Segmenter] = {}
 
 
-def segmenter(path: str, limit: int = 800_000) -> Segmenter:
-    """The process's own Segmenter: a Python worker keeps it from task to task. limit: units and chunks that it keeps (some 300 bytes each)."""
+def segmenter(path: str, limit: int = UNITS) -> Segmenter:
+    """The process's own Segmenter: a Python worker keeps it from task to task. limit: units and chunks that it keeps."""
     if path not in _KNOWN:
         _KNOWN[path] = Segmenter(path)
     _KNOWN[path].limit = limit
@@ -343,7 +355,7 @@ def nbest(docs: DataFrame, model: str, n: int = _BEST) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, rank int, score double, ids array<int>")
 
 
-def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) -> DataFrame:
+def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = UNITS) -> DataFrame:
     """Of each text: n_pieces, ids_crc32 (little-endian 32-bit ids) and score of the model's own segmentation, n_best (segmentations, of n at most) and
     last_score (that of the last), best_score (of the lattice's best), is_best (whether the model's own is that good) and round_trip."""
     fields = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "n_best": pa.int32(), "last_score": pa.float64(), "best_score": pa.float64(), "is_best": pa.bool_(), "round_trip": pa.bool_()}
