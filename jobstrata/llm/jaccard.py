@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.identity import components
-from .common import WordHashes, lean, long_array, mixed, stored, text_bytes, windows
+from .common import lean, long_array, mixed, stored, text_bytes, windows, word_hashes
 
 WIDTH, PERCENT = 5, 75
 SLACK, CROWD, SEEDS, BLOCK, DOCS = 0.2, 64, 8, 20_000, 500
@@ -51,13 +51,19 @@ SAMPLE, SPREAD = 8_000, 32
 BROADCAST_IDS = 2_000_000
 
 
-def shingles(words: list[bytes], known: WordHashes, width: int = WIDTH) -> np.ndarray:
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; several times faster than np.unique, which hashes them first."""
+    own = np.sort(values)
+    return own[np.append(True, own[1:] != own[:-1])] if len(own) else own
+
+
+def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     """Hashes of the distinct shingles of lower-cased words, sorted; of fewer words than width the whole is one."""
     if not words:
         return np.empty(0, np.uint64)
     short = len(words) < width
-    found = windows(known.of(words), len(words) if short else width)
-    return np.unique(mixed(found + np.uint64(len(words))) if short else found)
+    found = windows(word_hashes(words), len(words) if short else width)
+    return _distinct(mixed(found + np.uint64(len(words))) if short else found)
 
 
 def _band(size: int) -> int:
@@ -68,6 +74,7 @@ def published(own: np.ndarray) -> np.ndarray:
     """The parts that a set of shingles publishes, as 58 bits of hash and 6 of its band."""
     n, out = len(own), []
     need = n // 3 + 1
+    most = need + int(SLACK * need)
     for band in {_band(n), _band(-(-3 * n // 4))}:
         parts = int(1.5 * (4 * (2 << band) // 9)) + 4
         for seed in range(SEEDS + 1):
@@ -76,26 +83,27 @@ def published(own: np.ndarray) -> np.ndarray:
                 out.append(np.array([salt], np.uint64))
                 break
             dealt = mixed(own ^ salt)
-            part = (dealt >> np.uint64(33)) % np.uint64(parts)
+            part = (dealt >> np.uint64(33)).astype(np.uint32) % np.uint32(parts)
+            part = part.astype(np.uint16) if parts <= 1 << 16 else part  # 16 bits are sorted by radix
             order = np.argsort(part, kind="stable")
-            starts = np.flatnonzero(np.diff(part[order], prepend=parts + 1))
-            xor = np.bitwise_xor.reduceat(dealt[order], starts)
-            some = mixed(xor + part[order][starts])[: need + int(SLACK * need)]
+            part = part[order]
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            xor = np.bitwise_xor.reduceat(dealt[order], starts)[:most]
+            some = mixed(xor + part[starts[:most]])
             out.append(some & np.uint64((1 << 64) - 64) | np.uint64(band))
-            if len(starts) >= need + int(SLACK * need):
+            if len(starts) >= most:
                 break
-    return np.unique(np.concatenate(out))
+    return _distinct(np.concatenate(out))
 
 
 def _emit(docs: DataFrame, row, schema: str, names: list[str]) -> DataFrame:
     """row(doc_id, shingles) gives arrays of equal length, the columns."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                parts = [row(doc_id, shingles(text.lower().split(), known)) for doc_id, text in zip(some["doc_id"].to_pylist(), text_bytes(some["text"]), strict=True)]
+                parts = [row(doc_id, shingles(text.lower().split())) for doc_id, text in zip(some["doc_id"].to_pylist(), text_bytes(some["text"]), strict=True)]
                 parts = [p for p in parts if p is not None]
                 if parts:
                     yield pa.RecordBatch.from_arrays([_column(x) for x in zip(*parts, strict=True)], names)
@@ -267,8 +275,15 @@ def verified(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataF
     return stored(close, "close").join(side("a", "s"), "a").join(side("b", "s"), "b").mapInArrow(lambda it: passed(it, same, ["sa", "sb"]), "a long, b long")
 
 
-def single(sets: DataFrame) -> DataFrame:
-    """sig, doc_id and n: each shingle of sets (doc_id, n, s) as a part of its own, and the size of its set."""
+def single(sets: DataFrame, hot: pa.Table | None = None) -> DataFrame:
+    """sig, doc_id, n and sure: each shingle of sets (doc_id, n, s) as a part of its own, the size of its set, and the n of hot (sig, n) or 0.
+
+    One row for each shingle, however many sets have it.
+    """
+    keys, counts = (np.empty(0, np.int64), np.empty(0, np.int32)) if hot is None else (hot["sig"].to_numpy(), hot["n"].to_numpy())
+    order = np.argsort(keys)
+    keys, counts = np.append(keys[order], np.int64(0)), np.append(counts[order], np.int32(0))  # the last is for what lies beyond all keys
+
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,13 +291,16 @@ def single(sets: DataFrame) -> DataFrame:
                 some = batch.slice(at, 200)
                 each = [np.frombuffer(s, np.int64) for s in some["s"].to_pylist()]
                 sizes = np.array([len(x) for x in each], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each)), pa.array(np.repeat(some["doc_id"].to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32))], ["sig", "doc_id", "n"])
+                sig = np.concatenate(each)
+                at_key = np.searchsorted(keys[:-1], sig)
+                sure = np.where(keys[at_key] == sig, counts[at_key], np.int32(0))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.repeat(some["doc_id"].to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(sure)], ["sig", "doc_id", "n", "sure"])
 
-    return sets.select("doc_id", "s").mapInArrow(emit, "sig long, doc_id long, n int")
+    return sets.select("doc_id", "s").mapInArrow(emit, "sig long, doc_id long, n int, sure int")
 
 
-def shared(parts: DataFrame, hot: DataFrame) -> DataFrame:
-    """The rows of parts (sig, doc_id, n) whose sig comes in another row, with crowd, how many have it (COUNTED at most; of hot ones (sig, n) more), and hot.
+def shared(parts: DataFrame) -> DataFrame:
+    """The rows of parts (sig, doc_id, n, sure) whose sig comes in another row, with crowd, how many have it (COUNTED at most; of those with sure more), and hot.
 
     Rows sorted by sig are read as a stream, so one shuffle does; COUNTED rows and a batch are held at most. The order by (crowd, sig) is the same for
     all documents, which is all that the choice of parts needs.
@@ -319,8 +337,7 @@ def shared(parts: DataFrame, hot: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield from ready(len(held[0]), np.flatnonzero(np.append(True, held[0][1:] != held[0][:-1])))
 
-    known = parts.join(F.broadcast(hot.select("sig", F.col("n").alias("sure"))), "sig", "left").select(*names[:3], F.coalesce("sure", F.lit(0)).alias("sure"))
-    return spread(known.withColumn("hot", F.col("sure") > 0)).select(*names).mapInArrow(scan, "sig long, doc_id long, n int, crowd int, hot boolean")
+    return spread(parts.withColumn("hot", F.col("sure") > 0)).select(*names).mapInArrow(scan, "sig long, doc_id long, n int, crowd int, hot boolean")
 
 
 def met(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -408,8 +425,14 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         known = pairs.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return known.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
+    # of equal sets one is sketched: copies would meet in every part and crowd it
+    copies = stored(own.where("doc_id <> rep").select("doc_id"), "copies")
+    texts, n, n_copies = docs, own.count(), copies.count()
+    if n_copies <= BROADCAST_IDS:  # with more, copies are sketched with the rest, which links the same and spares a shuffle of the texts
+        docs, n = docs.join(F.broadcast(copies), "doc_id", "left_anti"), n - n_copies
+
     # 1: partners share the published parts that the smaller set has to spare and one more, in small groups or in crowds
-    hot = crowds(sketches(_sampled(docs, own.count())).select("sig"))
+    hot = crowds(sketches(_sampled(docs, n)).select("sig"))
     sure = np.sort(np.array([r["sig"] for r in hot.select("sig").collect()], np.int64))
     found = stored(candidates(sketches(docs, sure)).groupBy("a", "b", "band", "crowd", "sig").agg(F.count(F.lit(1)).alias("n")), "candidates")
     lost = stored(found.where("crowd").groupBy(F.col("b").alias("doc_id"), "band").agg(F.sum("n").alias("n")), "lost")
@@ -427,13 +450,13 @@ def _links(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     poor = stored(poor, "poor")
     n_poor = poor.count()
     nodes = first.select(F.col("a").alias("doc_id")).unionByName(first.select(F.col("b").alias("doc_id"))).unionByName(poor).distinct()
-    sets = stored(hashes(docs, stored(nodes, "nodes")), "sets")
+    sets = stored(hashes(texts, stored(nodes, "nodes")), "sets")
     good = stored(verified(sets, first, percent), "links")
     if not n_poor:
         return own, good
     # 2: the rarest shingles
-    some = single(sets.join(poor, "doc_id", "left_semi"))
-    parts = shared(some, crowds(_sampled(some, n_poor).select("sig")))
+    some = sets.join(poor, "doc_id", "left_semi")
+    parts = shared(single(some, crowds(single(_sampled(some, n_poor)).select("sig")).toArrow()))
     mine = Window.partitionBy("doc_id")
     ranked = parts.withColumns({"place": F.row_number().over(mine.orderBy("crowd", "sig")), "others": F.count(F.lit(1)).over(mine)})
     place, n = F.col("place") + F.col("n") - F.col("others"), F.col("n")
