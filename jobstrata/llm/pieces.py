@@ -8,9 +8,9 @@ the paths that reach the start come out best first. A character that no piece co
 A unigram model's own encoding is the lattice's best path. A merge model's is not in general: it merges by rank, which is no sum over
 pieces; there the scores only order the alternatives.
 
-Between two characters that are next to each other in no piece every path has a cut. A text falls into units there; each
-distinct unit is solved once, and the N best of a text are merged from the N - 1 units whose second best costs least.
-A process keeps the units met last, so memory is bounded; texts of any length are read whole.
+Between two characters that are next to each other in no piece every path has a cut. A text falls into chunks and these into units there; each
+distinct chunk is solved once, the new ones of some texts together by arrays, and the N best of a text are merged from the N - 1 chunks whose
+second best costs least. A process keeps the chunks met last, so memory is bounded; texts of any length are read whole.
 
 Null and empty texts have no pieces and one segmentation, the empty one, of score 0. Ties: the segmentation whose last differing piece is
 longer comes first. A literal U+2581 decodes to a space, as in the library, so such texts don't round-trip. Repeated rows
@@ -25,7 +25,6 @@ import zlib
 from collections.abc import Iterator
 from itertools import chain, count, pairwise
 from operator import add
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ SPACE = "▁"
 PENALTY = 10.0
 _CHUNK = re.compile(f"[{SPACE}\n]+[^{SPACE}\n]*")
 _BEST = 4
+#: Chunks up to so many characters are solved by arrays, so many at once; texts of so many characters or so are met together.
+LONG, MANY, TOGETHER = 60, 20_000, 500_000
 
 
 #: Where the curve of chances by rank bends; from 30 to 1000 it hardly matters.
@@ -85,6 +86,7 @@ class Segmenter:
         for c, step in self.trie.items():
             if step[0] is None:
                 step[:2] = self.unknown, self._spelled(c)
+        self._tabled()
         self.text = [bytes([int(self.names[i][3:5], 16)]) if self.kinds[i] == 0 else self.names[i].replace(SPACE, " ").encode() if self.kinds[i] == 1 else b"" for i in every]
 
     # --- a unit ---
@@ -196,18 +198,137 @@ class Segmenter:
         cuts = [0, *(k for k, whole in enumerate(joined, 1) if not whole), len(text)]
         return [text[a:b] for a, b in pairwise(cuts)]
 
+    def _tabled(self) -> None:
+        """The trie as arrays: states are numbered from 1, and steps from state to state are found by hash."""
+        self.letters = {c: k for k, c in enumerate(sorted({c for p in self.pieces for c in p}), 1)}
+        self.letter = np.zeros(max(map(ord, self.letters)) + 2, np.int64)  # 0: in no piece
+        self.letter[[ord(c) for c in self.letters]] = list(self.letters.values())
+        scores, ids, steps, todo = [-np.inf], [-1], [], [(0, self.trie)]
+        while todo:
+            state, more = todo.pop()
+            for c, (score, _, then) in more.items():
+                steps.append((state * (len(self.letters) + 1) + self.letters[c], len(scores)))
+                if then:
+                    todo.append((len(scores), then))
+                scores.append(-np.inf if score is None else score)
+                ids.append(-1)
+        at = {k: v for k, v in steps}
+        for p, (i, _) in self.pieces.items():
+            state = 0
+            for c in p:
+                state = at[state * (len(self.letters) + 1) + self.letters[c]]
+            ids[state] = i
+        self.state_score, self.state_id = np.array(scores), np.array(ids, np.int64)
+        size = 1 << (8 * len(steps)).bit_length()
+        self.slots, self.slot_key, self.slot_state = size - 1, np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        for key, state in steps:
+            k = self._slot(key)
+            while self.slot_key[k] >= 0:
+                k = k + 1 & self.slots
+            self.slot_key[k], self.slot_state[k] = key, state
+
+    def _slot(self, key):
+        return (key ^ key >> 7) * 0x9E3779B1 >> 12 & self.slots
+
+    def _next(self, key: np.ndarray) -> np.ndarray:
+        """The states that steps lead to; 0: there is none."""
+        slot = self._slot(key)
+        there = self.slot_key[slot]
+        out = np.where(there == key, self.slot_state[slot], 0)
+        left = np.flatnonzero((there != key) & (there >= 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & self.slots
+            there = self.slot_key[slot[left]]
+            good = there == key[left]
+            out[left[good]] = self.slot_state[slot[left[good]]]
+            left = left[(there >= 0) & ~good]
+        return out
+
+    def _lattices(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+        """As `solved`, of many chunks of LONG characters at most: edges of one length that end at one distance from the chunks' beginnings are taken together."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        letter = self.letter[np.minimum(codes, len(self.letter) - 1)]
+        ends = np.cumsum(sizes)
+        of = np.repeat(np.arange(len(chunks)), sizes)
+        at, until, begin = np.arange(len(codes)), ends[of], (ends - sizes)[of]
+        width = len(self.letters) + 1
+        starts, lengths, states = [], [], []
+        state, alive = self._next(letter), at
+        plain = self.state_id[state] >= 0
+        for length in count(1):
+            good = plain if length == 1 else self.state_id[state] >= 0
+            starts.append(alive if length == 1 else alive[good])
+            states.append(state if length == 1 else state[good])
+            lengths.append(np.full(len(starts[-1]), length))
+            good = (alive + length < until[alive]) & (state > 0)
+            alive, state = alive[good], state[good]
+            if not len(alive):
+                break
+            state = self._next(state * width + letter[alive + length])
+            alive, state = alive[state > 0], state[state > 0]
+        start, length, state = np.concatenate(starts), np.concatenate(lengths), np.concatenate(states)
+        place = start - begin[start] + length
+        most = int(length.max()) + 1
+        key = place * most + (most - length)  # to each place the longest edge first
+        order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
+        start, length, state = start[order], length[order], state[order]
+        node = start + of[start]  # a chunk has a node more than characters
+        then, score = node + length, np.where(self.state_id[state] >= 0, self.state_score[state], self.unknown)
+        first, second, back = np.full(len(codes) + len(chunks), -np.inf), np.full(len(codes) + len(chunks), -np.inf), np.zeros(len(codes) + len(chunks), np.int64)
+        origin, last = ends - sizes + np.arange(len(chunks)), ends + np.arange(len(chunks))
+        first[origin] = 0.0
+        bounds = np.append(np.flatnonzero(np.diff(key[order], prepend=-1)), len(order)).tolist()
+        for a, b in pairwise(bounds):
+            i, j, s = node[a:b], then[a:b], score[a:b]
+            x, y, f = first[i] + s, second[i] + s, first[j]
+            better = x > f
+            second[j] = np.maximum(second[j], np.where(better, np.maximum(y, f), x))
+            first[j] = np.where(better, x, f)
+            back[j[better]] = np.flatnonzero(better) + a
+        whose, now, found = np.arange(len(chunks)), last, []
+        while len(whose):
+            edge = back[now]
+            found.append((whose, self.state_id[state[edge]]))
+            now = node[edge]
+            more = now != origin[whose]
+            whose, now = whose[more], now[more]
+        n = np.bincount(np.concatenate([w for w, _ in found]), minlength=len(chunks))
+        stop = np.cumsum(n)
+        ids = np.empty(int(stop[-1]), "<u4")
+        for k, (w, own) in enumerate(found, 1):
+            ids[stop[w] - k] = own
+        packed, cuts = ids.tobytes(), [0, *(4 * stop).tolist()]
+        out = list(zip([packed[a:b] for a, b in pairwise(cuts)], first[last].tolist(), (first[last] - second[last]).tolist(), strict=True))
+        for k in np.unique(of[~plain]).tolist():  # characters of no piece are spelled
+            out[k] = self._by_units(chunks[k])
+        return out
+
+    def _by_units(self, chunk: str) -> tuple[bytes, float, float]:
+        own = [self.solved(u) for u in self.split(chunk)]
+        return b"".join([x[0] for x in own]), sum([x[1] for x in own]), min([x[2] for x in own])
+
     def _solve(self, chunks: list[str]) -> None:
         """Of each chunk (white space and what follows): packed ids and score of the lattice's best, what its second best costs more, packed ids and
-        score of the library's own encoding."""
-        known, scores = self.chunks, self.scores
+        score of the library's own encoding, and whether that decodes to the chunk."""
+        known, text = self.chunks, self.text.__getitem__
         # the library puts a space before what it encodes: the chunk's own first one, or one of its own, whose piece then goes
         plain = self.model.encode([c.removeprefix(SPACE).replace(SPACE, " ") for c in chunks], num_threads=1)
+        short = [c for c in chunks if len(c) <= LONG]
+        best_of = dict(zip(short, self._lattices(short), strict=True)) if short else {}
+        space = [self.pieces[SPACE][0]]
+        plain = [space if c == SPACE else ids if c[0] == SPACE else ids[1:] for c, ids in zip(chunks, plain, strict=True)]
+        every = np.fromiter(chain.from_iterable(plain), "<u4").tobytes()
+        end = 0
         for c, ids in zip(chunks, plain, strict=True):
-            own = [self.solved(u) for u in self.split(c)]
-            packed = own[0][0] if len(own) == 1 else b"".join([x[0] for x in own])
-            ids = [self.pieces[SPACE][0]] if c == SPACE else ids if c[0] == SPACE else ids[1:]
-            said, best = pack(f"<{len(ids)}I", *ids), sum([x[1] for x in own])
-            known[c] = packed, best, min([x[2] for x in own]), said, best if said == packed else self._scored(ids)
+            packed, best, gap = best_of.get(c) or self._by_units(c)
+            begin, end = end, end + 4 * len(ids)
+            said, score = every[begin:end], best
+            if said == packed:
+                said = packed
+            else:
+                score = self._scored(ids)
+            known[c] = packed, best, gap, said, score, b"".join(map(text, ids)) == c.replace(SPACE, " ").encode("utf-8", "surrogatepass")
 
     def _scored(self, ids: list[int]) -> float:
         """The score of a path: bytes' pieces count once for each character that they spell."""
@@ -219,14 +340,20 @@ class Segmenter:
                 spelled += self.text[i]
         return total + self.unknown * len(spelled.decode("utf-8", "replace"))
 
-    def _chunks(self, text: str) -> tuple[list[str], list[tuple]]:
+    def _named(self, text: str) -> list[str]:
         whole = SPACE + text.replace(" ", SPACE)
-        names = _CHUNK.findall(whole) if self.cut else [whole]
+        return _CHUNK.findall(whole) if self.cut else [whole]
+
+    def _meet(self, names: set[str]) -> None:
         if len(self.chunks) + len(self.units) > self.limit:
             self.chunks.clear(), self.units.clear(), self.options.clear()
-        new = set(names).difference(self.chunks)
-        if new:
-            self._solve(list(new))
+        new = list(names.difference(self.chunks))
+        for k in range(0, len(new), MANY):
+            self._solve(new[k : k + MANY])
+
+    def _chunks(self, text: str) -> tuple[list[str], list[tuple]]:
+        names = self._named(text)
+        self._meet(set(names))
         return names, list(map(self.chunks.__getitem__, names))
 
     @staticmethod
@@ -261,16 +388,19 @@ class Segmenter:
 
         Only the n - 1 chunks whose second best costs least can differ from their best.
         """
-        return self._best_of(*self._chunks(text), n) if text else [(0.0, b"")]
+        if not text:
+            return [(0.0, b"")]
+        names, own = self._chunks(text)
+        return self._best_of(names, *list(zip(*own, strict=True))[:3], n)
 
-    def _best_of(self, names: list[str], own: list[tuple], n: int) -> list[tuple[float, bytes]]:
-        costs = np.array([x[2] for x in own])
+    def _best_of(self, names: list[str], packed: tuple[bytes, ...], best: tuple[float, ...], gaps: tuple[float, ...], n: int) -> list[tuple[float, bytes]]:
+        costs = np.array(gaps)
         some = np.argsort(costs, kind="stable")[: n - 1] if len(costs) <= 64 else (low := np.argpartition(costs, n - 1)[: n - 1])[np.argsort(costs[low], kind="stable")]
         some = sorted(int(i) for i in some if costs[i] < np.inf)
         merged = self._merged([self._options(names[i], n) for i in some], n)
-        total, out = float(sum([x[1] for x in own])), []
-        cuts = [0, *some, len(own)]
-        whole = [b"".join([x[0] for x in own[a:b]]) for a, b in zip([0, *(i + 1 for i in some)], cuts[1:], strict=True)]
+        total, out = float(sum(best)), []
+        cuts = [0, *some, len(names)]
+        whole = [b"".join(packed[a:b]) for a, b in zip([0, *(i + 1 for i in some)], cuts[1:], strict=True)]
         for cost, choice in merged:
             out.append((total - cost, b"".join(chain.from_iterable(zip(whole, (*choice, b""), strict=True)))))
         return out
@@ -279,10 +409,28 @@ class Segmenter:
         """Scores and packed ids of the model's own segmentation and of the n - 1 best others, and the score of the lattice's best."""
         if not text:
             return [(0.0, b"")], 0.0
-        names, own = self._chunks(text)
-        first = b"".join([x[3] for x in own])
-        best = self._best_of(names, own, n)
-        return [(float(sum([x[4] for x in own])), first), *[x for x in best if x[1] != first][: n - 1]], best[0][0]
+        return self._ranked(*self._chunks(text), n)[:2]
+
+    def _ranked(self, names: list[str], own: list[tuple], n: int) -> tuple[list[tuple[float, bytes]], float, bool]:
+        """What `segmentations` gives, and whether each chunk decodes to itself."""
+        packed, best, gaps, said, scores, back = zip(*own, strict=True)
+        first, found = b"".join(said), self._best_of(names, packed, best, gaps, n)
+        return [(float(sum(scores)), first), *[x for x in found if x[1] != first][: n - 1]], found[0][0], all(back)
+
+    def ranked(self, texts: list[str | None], n: int) -> Iterator[tuple[list[tuple[float, bytes]], float, bool]]:
+        """Of each text what `segmentations` gives, and whether the model's own decodes to the text. The new chunks of some texts are solved together.
+
+        Ids decode one by one, so what a text's chunks decode to follows one another; a literal U+2581 comes back as a space.
+        """
+        for a, b in pairwise([0, *(np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // TOGETHER)) + 1).tolist(), len(texts)]):
+            names = [self._named(t) if t else [] for t in texts[a:b]]
+            self._meet(set(chain.from_iterable(names)))
+            for text, own in zip(texts[a:b], names, strict=True):
+                if not text:
+                    yield [(0.0, b"")], 0.0, True
+                    continue
+                found, best, same = self._ranked(own, list(map(self.chunks.__getitem__, own)), n)
+                yield found, best, SPACE not in text if same else self.decode(np.frombuffer(found[0][1], "<u4").tolist()) == text
 
     def nbest(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
         return [(s, np.frombuffer(x, "<u4").tolist()) for s, x in self.packed(text, n)]
@@ -297,7 +445,7 @@ _KNOWN: dict[str, Segmenter] = {}
 
 
 def segmenter(path: str, limit: int = 800_000) -> Segmenter:
-    """The process's own Segmenter: a Python worker keeps it from task to task. limit: units and chunks that it keeps (some 300 bytes each)."""
+    """The process's own Segmenter: a Python worker keeps it from task to task. limit: chunks and units that it keeps (some 400 bytes each)."""
     if path not in _KNOWN:
         _KNOWN[path] = Segmenter(path)
     _KNOWN[path].limit = limit
@@ -353,10 +501,9 @@ def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) ->
         for whole in batches:
             for at in range(0, whole.num_rows, 200):  # texts become Python objects a few at a time
                 batch, out = whole.slice(at, 200), []
-                for text in batch["text"].to_pylist():
-                    some, best = known.segmentations(text, n)
+                for some, best, same in known.ranked(batch["text"].to_pylist(), n):
                     score, packed = some[0]
-                    out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], best, score >= best, known.decode(np.frombuffer(packed, "<u4").tolist()) == (text or "")))
+                    out.append((len(packed) // 4, zlib.crc32(packed), score, len(some), some[-1][0], best, score >= best, same))
                 columns = list(zip(*out, strict=True)) or [()] * len(fields)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *[pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)]], ["doc_id", *fields])
 
