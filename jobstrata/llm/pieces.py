@@ -57,8 +57,28 @@ def _chances(scores: dict[int, float]) -> dict[int, float]:
     return {i: float(-np.log(SHIFT - s) - whole) if s > -1e8 else s for i, s in scores.items()}
 
 
+class Column:
+    """An array that grows."""
+
+    def __init__(self, kind: str):
+        self.whole, self.n = np.empty(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.whole):
+            self.whole = np.append(self.whole[: self.n], np.empty(max(self.n, len(more)), self.whole.dtype))
+        self.whole[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+def _gathered(ids: Column, ends: Column, sizes: Column, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the chunks at these places, one after the other, and where each chunk's end."""
+    size = sizes.whole[at]
+    stop = np.cumsum(size)
+    return ids.whole[np.repeat(ends.whole[at] - stop, size) + np.arange(stop[-1])], stop
+
+
 class Segmenter:
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 1_600_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -75,7 +95,8 @@ class Segmenter:
         self.cut = not any(pair[1] in (SPACE, "\n") and pair[0] not in (SPACE, "\n") for pair in self.inside)
         self.unknown = min(s for _, s in self.pieces.values() if s > -1e8) - PENALTY
         self.scores = {i: score for i, score in self.pieces.values()}
-        self.limit, self.units, self.chunks, self.options = limit, {}, {}, {}
+        self.limit = limit
+        self._forget()
         #: character -> score (None: the characters so far are no piece), packed id and the characters that may follow, to any depth
         self.trie: dict = {}
         for p, (i, score) in self.pieces.items():
@@ -86,8 +107,8 @@ class Segmenter:
         for c, step in self.trie.items():
             if step[0] is None:
                 step[:2] = self.unknown, self._spelled(c)
-        self._tabled()
         self.text = [bytes([int(self.names[i][3:5], 16)]) if self.kinds[i] == 0 else self.names[i].replace(SPACE, " ").encode() if self.kinds[i] == 1 else b"" for i in every]
+        self._tabled()
 
     # --- a unit ---
 
@@ -198,6 +219,13 @@ class Segmenter:
         cuts = [0, *(k for k, whole in enumerate(joined, 1) if not whole), len(text)]
         return [text[a:b] for a, b in pairwise(cuts)]
 
+    def _forget(self) -> None:
+        """chunks has the place of each chunk in the columns: score of the lattice's best, what its second best costs more, score of the library's own
+        encoding, whether that decodes to the chunk, and the ids of both, with where they end and how many they are."""
+        self.units, self.chunks, self.options = {}, {}, {}
+        self.best_score, self.gap, self.own_score, self.same = Column("f8"), Column("f8"), Column("f8"), Column("?")
+        self.best_ids, self.own_ids = (Column("<u4"), Column("i8"), Column("i8")), (Column("<u4"), Column("i8"), Column("i8"))
+
     def _tabled(self) -> None:
         """The trie as arrays: states are numbered from 1, and steps from state to state are found by hash."""
         self.letters = {c: k for k, c in enumerate(sorted({c for p in self.pieces for c in p}), 1)}
@@ -218,6 +246,10 @@ class Segmenter:
             for c in p:
                 state = at[state * (len(self.letters) + 1) + self.letters[c]]
             ids[state] = i
+        self.plain = np.zeros(len(self.letter), bool)  # whether a character is a piece
+        self.plain[[ord(c) for c, step in self.trie.items() if c in self.pieces]] = True
+        self.id_score = np.array([self.scores.get(i, np.nan) for i in range(len(self.kinds))])
+        self.id_bytes = np.array([len(x) for x in self.text])
         self.state_score, self.state_id = np.array(scores), np.array(ids, np.int64)
         size = 1 << (8 * len(steps)).bit_length()
         self.slots, self.slot_key, self.slot_state = size - 1, np.full(size, -1, np.int64), np.zeros(size, np.int64)
@@ -244,8 +276,11 @@ class Segmenter:
             left = left[(there >= 0) & ~good]
         return out
 
-    def _lattices(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
-        """As `solved`, of many chunks of LONG characters at most: edges of one length that end at one distance from the chunks' beginnings are taken together."""
+    def _lattices(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As `solved`, of many chunks of LONG characters at most, each of which is a piece: ids, how many of each chunk, scores and gaps.
+
+        Edges of one length that end at one distance from the chunks' beginnings are taken together.
+        """
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
         letter = self.letter[np.minimum(codes, len(self.letter) - 1)]
@@ -255,13 +290,12 @@ class Segmenter:
         width = len(self.letters) + 1
         starts, lengths, states = [], [], []
         state, alive = self._next(letter), at
-        plain = self.state_id[state] >= 0
         for length in count(1):
-            good = plain if length == 1 else self.state_id[state] >= 0
-            starts.append(alive if length == 1 else alive[good])
-            states.append(state if length == 1 else state[good])
+            good = self.state_id[state] >= 0
+            starts.append(alive[good])
+            states.append(state[good])
             lengths.append(np.full(len(starts[-1]), length))
-            good = (alive + length < until[alive]) & (state > 0)
+            good = alive + length < until[alive]
             alive, state = alive[good], state[good]
             if not len(alive):
                 break
@@ -274,7 +308,7 @@ class Segmenter:
         order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
         start, length, state = start[order], length[order], state[order]
         node = start + of[start]  # a chunk has a node more than characters
-        then, score = node + length, np.where(self.state_id[state] >= 0, self.state_score[state], self.unknown)
+        then, score = node + length, self.state_score[state]
         first, second, back = np.full(len(codes) + len(chunks), -np.inf), np.full(len(codes) + len(chunks), -np.inf), np.zeros(len(codes) + len(chunks), np.int64)
         origin, last = ends - sizes + np.arange(len(chunks)), ends + np.arange(len(chunks))
         first[origin] = 0.0
@@ -298,37 +332,47 @@ class Segmenter:
         ids = np.empty(int(stop[-1]), "<u4")
         for k, (w, own) in enumerate(found, 1):
             ids[stop[w] - k] = own
-        packed, cuts = ids.tobytes(), [0, *(4 * stop).tolist()]
-        out = list(zip([packed[a:b] for a, b in pairwise(cuts)], first[last].tolist(), (first[last] - second[last]).tolist(), strict=True))
-        for k in np.unique(of[~plain]).tolist():  # characters of no piece are spelled
-            out[k] = self._by_units(chunks[k])
-        return out
+        return ids, n, first[last], first[last] - second[last]
 
     def _by_units(self, chunk: str) -> tuple[bytes, float, float]:
         own = [self.solved(u) for u in self.split(chunk)]
         return b"".join([x[0] for x in own]), sum([x[1] for x in own]), min([x[2] for x in own])
 
     def _solve(self, chunks: list[str]) -> None:
-        """Of each chunk (white space and what follows): packed ids and score of the lattice's best, what its second best costs more, packed ids and
-        score of the library's own encoding, and whether that decodes to the chunk."""
-        known, text = self.chunks, self.text.__getitem__
+        """Puts chunks (white space and what follows) into the columns."""
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        odd = sizes > LONG
+        odd[np.repeat(np.arange(len(chunks)), sizes)[~self.plain[np.minimum(codes, len(self.plain) - 1)]]] = True
+        short = [c for c, x in zip(chunks, odd.tolist(), strict=True) if not x]
+        rest = [c for c, x in zip(chunks, odd.tolist(), strict=True) if x]
+        chunks = short + rest
+        ids, n, best, gap = self._lattices(short) if short else (np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0), np.empty(0))
+        if rest:
+            more = [self._by_units(c) for c in rest]
+            ids, n = np.append(ids, np.frombuffer(b"".join([x[0] for x in more]), "<u4")), np.append(n, [len(x[0]) // 4 for x in more])
+            best, gap = np.append(best, [x[1] for x in more]), np.append(gap, [x[2] for x in more])
         # the library puts a space before what it encodes: the chunk's own first one, or one of its own, whose piece then goes
         plain = self.model.encode([c.removeprefix(SPACE).replace(SPACE, " ") for c in chunks], num_threads=1)
-        short = [c for c in chunks if len(c) <= LONG]
-        best_of = dict(zip(short, self._lattices(short), strict=True)) if short else {}
         space = [self.pieces[SPACE][0]]
-        plain = [space if c == SPACE else ids if c[0] == SPACE else ids[1:] for c, ids in zip(chunks, plain, strict=True)]
-        every = np.fromiter(chain.from_iterable(plain), "<u4").tobytes()
-        end = 0
-        for c, ids in zip(chunks, plain, strict=True):
-            packed, best, gap = best_of.get(c) or self._by_units(c)
-            begin, end = end, end + 4 * len(ids)
-            said, score = every[begin:end], best
-            if said == packed:
-                said = packed
-            else:
-                score = self._scored(ids)
-            known[c] = packed, best, gap, said, score, b"".join(map(text, ids)) == c.replace(SPACE, " ").encode("utf-8", "surrogatepass")
+        plain = [space if c == SPACE else own if c[0] == SPACE else own[1:] for c, own in zip(chunks, plain, strict=True)]
+        said, m = np.fromiter(chain.from_iterable(plain), "<u4"), np.fromiter(map(len, plain), np.int64, len(plain))
+        of = np.repeat(np.arange(len(chunks)), m)
+        equal = n == m
+        equal[equal] = np.bincount(np.repeat(np.arange(int(equal.sum())), m[equal]), said[equal[of]] != ids[np.repeat(equal, n)], int(equal.sum())) == 0
+        score = np.where(equal, best, np.bincount(of, self.id_score[said], len(chunks)))
+        for k in np.flatnonzero(np.isnan(score)).tolist():  # with bytes
+            score[k] = self._scored(plain[k])
+        texts = [c.replace(SPACE, " ").encode("utf-8", "surrogatepass") for c in chunks]
+        spelled = list(map(self.text.__getitem__, said.tolist()))
+        same = np.bincount(of, self.id_bytes[said], len(chunks)) == np.fromiter(map(len, texts), np.int64, len(texts))
+        if not same.all() or b"".join(spelled) != b"".join(texts):
+            cuts = [0, *np.cumsum(m).tolist()]
+            same = np.array([b"".join(spelled[a:b]) == t for (a, b), t in zip(pairwise(cuts), texts, strict=True)])
+        self.chunks.update(zip(chunks, range(self.gap.n, self.gap.n + len(chunks)), strict=True))
+        for (own, ends, counts), new, size in ((self.best_ids, ids, n), (self.own_ids, said, m)):
+            ends.add(own.n + np.cumsum(size)), counts.add(size), own.add(new)
+        self.best_score.add(best), self.gap.add(gap), self.own_score.add(score), self.same.add(same)
 
     def _scored(self, ids: list[int]) -> float:
         """The score of a path: bytes' pieces count once for each character that they spell."""
@@ -346,15 +390,18 @@ class Segmenter:
 
     def _meet(self, names: set[str]) -> None:
         if len(self.chunks) + len(self.units) > self.limit:
-            self.chunks.clear(), self.units.clear(), self.options.clear()
+            self._forget()
         new = list(names.difference(self.chunks))
         for k in range(0, len(new), MANY):
             self._solve(new[k : k + MANY])
 
-    def _chunks(self, text: str) -> tuple[list[str], list[tuple]]:
+    def _places(self, names: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.chunks.__getitem__, names), np.int64, len(names))
+
+    def _chunks(self, text: str) -> tuple[list[str], np.ndarray]:
         names = self._named(text)
         self._meet(set(names))
-        return names, list(map(self.chunks.__getitem__, names))
+        return names, self._places(names)
 
     @staticmethod
     def _merged(options: list[list], n: int) -> list[tuple[float, tuple]]:
@@ -379,28 +426,27 @@ class Segmenter:
         """Packed ids and score of the model's own segmentation, and by how much the lattice's best exceeds it."""
         if not text:
             return b"", 0.0, 0.0
-        _, own = self._chunks(text)
-        score = float(sum([x[4] for x in own]))
-        return b"".join([x[3] for x in own]), score, max(0.0, float(sum([x[1] for x in own])) - score)
+        _, at = self._chunks(text)
+        score = float(self.own_score.whole[at].sum())
+        return _gathered(*self.own_ids, at)[0].tobytes(), score, max(0.0, float(self.best_score.whole[at].sum()) - score)
 
     def packed(self, text: str | None, n: int) -> list[tuple[float, bytes]]:
         """The n best paths of a whole text's lattice, best first: scores and packed ids.
 
         Only the n - 1 chunks whose second best costs least can differ from their best.
         """
-        if not text:
-            return [(0.0, b"")]
-        names, own = self._chunks(text)
-        return self._best_of(names, *list(zip(*own, strict=True))[:3], n)
+        return self._best_of(*self._chunks(text), n) if text else [(0.0, b"")]
 
-    def _best_of(self, names: list[str], packed: tuple[bytes, ...], best: tuple[float, ...], gaps: tuple[float, ...], n: int) -> list[tuple[float, bytes]]:
-        costs = np.array(gaps)
+    def _best_of(self, names: list[str], at: np.ndarray, n: int) -> list[tuple[float, bytes]]:
+        costs = self.gap.whole[at]
         some = np.argsort(costs, kind="stable")[: n - 1] if len(costs) <= 64 else (low := np.argpartition(costs, n - 1)[: n - 1])[np.argsort(costs[low], kind="stable")]
         some = sorted(int(i) for i in some if costs[i] < np.inf)
         merged = self._merged([self._options(names[i], n) for i in some], n)
-        total, out = float(sum(best)), []
+        total, out = float(self.best_score.whole[at].sum()), []
+        ids, stop = _gathered(*self.best_ids, at)
+        stop = np.append(0, stop)
         cuts = [0, *some, len(names)]
-        whole = [b"".join(packed[a:b]) for a, b in zip([0, *(i + 1 for i in some)], cuts[1:], strict=True)]
+        whole = [ids[stop[a] : stop[b]].tobytes() for a, b in zip([0, *(i + 1 for i in some)], cuts[1:], strict=True)]
         for cost, choice in merged:
             out.append((total - cost, b"".join(chain.from_iterable(zip(whole, (*choice, b""), strict=True)))))
         return out
@@ -411,11 +457,10 @@ class Segmenter:
             return [(0.0, b"")], 0.0
         return self._ranked(*self._chunks(text), n)[:2]
 
-    def _ranked(self, names: list[str], own: list[tuple], n: int) -> tuple[list[tuple[float, bytes]], float, bool]:
+    def _ranked(self, names: list[str], at: np.ndarray, n: int) -> tuple[list[tuple[float, bytes]], float, bool]:
         """What `segmentations` gives, and whether each chunk decodes to itself."""
-        packed, best, gaps, said, scores, back = zip(*own, strict=True)
-        first, found = b"".join(said), self._best_of(names, packed, best, gaps, n)
-        return [(float(sum(scores)), first), *[x for x in found if x[1] != first][: n - 1]], found[0][0], all(back)
+        first, found = _gathered(*self.own_ids, at)[0].tobytes(), self._best_of(names, at, n)
+        return [(float(self.own_score.whole[at].sum()), first), *[x for x in found if x[1] != first][: n - 1]], found[0][0], bool(self.same.whole[at].all())
 
     def ranked(self, texts: list[str | None], n: int) -> Iterator[tuple[list[tuple[float, bytes]], float, bool]]:
         """Of each text what `segmentations` gives, and whether the model's own decodes to the text. The new chunks of some texts are solved together.
@@ -424,12 +469,13 @@ class Segmenter:
         """
         for a, b in pairwise([0, *(np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // TOGETHER)) + 1).tolist(), len(texts)]):
             names = [self._named(t) if t else [] for t in texts[a:b]]
-            self._meet(set(chain.from_iterable(names)))
+            self._meet(every := set(chain.from_iterable(names)))
+            places = dict(zip(every, map(self.chunks.__getitem__, every), strict=True))  # a small table is faster to look up than that of all chunks
             for text, own in zip(texts[a:b], names, strict=True):
                 if not text:
                     yield [(0.0, b"")], 0.0, True
                     continue
-                found, best, same = self._ranked(own, list(map(self.chunks.__getitem__, own)), n)
+                found, best, same = self._ranked(own, np.fromiter(map(places.__getitem__, own), np.int64, len(own)), n)
                 yield found, best, SPACE not in text if same else self.decode(np.frombuffer(found[0][1], "<u4").tolist()) == text
 
     def nbest(self, text: str | None, n: int) -> list[tuple[float, list[int]]]:
@@ -444,8 +490,8 @@ class Segmenter:
 _KNOWN: dict[str, Segmenter] = {}
 
 
-def segmenter(path: str, limit: int = 800_000) -> Segmenter:
-    """The process's own Segmenter: a Python worker keeps it from task to task. limit: chunks and units that it keeps (some 400 bytes each)."""
+def segmenter(path: str, limit: int = 1_600_000) -> Segmenter:
+    """The process's own Segmenter: a Python worker keeps it from task to task. limit: chunks, and units of odd ones, that it keeps (some 400 bytes each)."""
     if path not in _KNOWN:
         _KNOWN[path] = Segmenter(path)
     _KNOWN[path].limit = limit
@@ -491,7 +537,7 @@ def nbest(docs: DataFrame, model: str, n: int = _BEST) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, rank int, score double, ids array<int>")
 
 
-def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 800_000) -> DataFrame:
+def digest(docs: DataFrame, model: str, n: int = _BEST, limit: int = 1_600_000) -> DataFrame:
     """Of each text: n_pieces, ids_crc32 (little-endian 32-bit ids) and score of the model's own segmentation, n_best (segmentations, of n at most) and
     last_score (that of the last), best_score (of the lattice's best), is_best (whether the model's own is that good) and round_trip."""
     fields = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "n_best": pa.int32(), "last_score": pa.float64(), "best_score": pa.float64(), "is_best": pa.bool_(), "round_trip": pa.bool_()}
